@@ -2,8 +2,10 @@
 
 from .decontamination import op2_decontamination
 from .fingerprints import op3_document_fingerprints
+from .html_text import op8_html_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .packing import op1_best_fit_packing
+from .quality import op9_quality_classifier
 from .token_output import op7_token_output
 
 QUERIES = {
@@ -11,6 +13,8 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op7_token_output": op7_token_output,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
