@@ -4,6 +4,7 @@ from .decontamination import op2_decontamination
 from .fingerprints import op3_document_fingerprints
 from .html_text import op8_html_extraction
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .near_dedup import op4_minhash_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op9_quality_classifier
 from .token_output import op7_token_output
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_token_output": op7_token_output,
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_classifier": op9_quality_classifier,
