@@ -44,7 +44,7 @@ class WordEncoder:
     kept; the shorter half, which recurs most, stays when they are too many.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,15 +134,19 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, end_id: int, id_col:
     }).parquet(path)
 
 
-def read_tokens(spark, path: str, columns: tuple[str, ...] = ("tokens",)) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and the given columns of a token file.
+def with_starts(spark, path: str, rows: DataFrame) -> DataFrame:
+    """Replaces ``part`` and ``local_start`` of rows of a token file by start (ids of all documents before it).
 
-    Only the length columns are read for the starts: a sum for each file, then running sums over the files.
+    Only the length columns are read for it: a sum for each file, then running sums over the files, which are joined.
     """
-    files = spark.read.parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each file
-    return files.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", *columns)
+    bases = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each file
+    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), *[c for c in rows.columns if c not in ("part", "doc_id", "local_start")])
+
+
+def read_tokens(spark, path: str, columns: tuple[str, ...] = ("tokens",)) -> DataFrame:
+    """doc_id, start, n_tokens and the given columns of a token file."""
+    return with_starts(spark, path, spark.read.parquet(path).select("part", "doc_id", "local_start", "n_tokens", *columns))
 
 
 def list_crc32(df: DataFrame, column: str = "tokens") -> DataFrame:
@@ -169,4 +173,4 @@ def op7_token_output(spark, sf_dir: str, tokenizer: str | None = None) -> DataFr
     tune(spark)
     path = shared_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), str(tokenizer), path, end_id=2)
-    return list_crc32(read_tokens(spark, path))
+    return with_starts(spark, path, list_crc32(spark.read.parquet(path)))  # the ids stay out of the join
