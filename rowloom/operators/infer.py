@@ -25,34 +25,37 @@ class Found:
     distinct: int | None = None
 
 
-def summary(cell: Column, cells: Cells, order: Column, k: int, pool: bool) -> list[Column]:
-    kinds = ("int", "decimal(38,0)", "float", "date", "datetime", "time", "bool")
-    out = [F.count(cell).alias(f"n{k}"), F.min_by(F.when(cell.isNotNull(), cells.kind(cell)), F.when(cell.isNotNull(), order)).alias(f"f{k}")]
-    out += [F.count(cells.to(cell, t)).alias(f"{t[0]}{j}_{k}") for j, t in enumerate(kinds)]
-    whole = cells.to(cell, "int")
-    out += [F.min(whole).alias(f"lo{k}"), F.max(whole).alias(f"hi{k}")]
-    return [*out, F.count_distinct(cell).alias(f"u{k}")] if pool else out
+#: What a column whose first cell has a kind may become; texts need no look at their other cells.
+MAYBE = {"int": ("int", "decimal(38,0)", "float"), "string": ()}
 
 
 def joined_kind(first: str | None, present: int, counts: dict[str, int]) -> str | None:
     """The column's kind: the first cell's if all cells have it, else a wider number, else text; None without cells."""
     if not present:
         return None
-    every = lambda t: counts[t] == present
-    if first == "int":
-        return "int" if every("int") else "decimal(38,0)" if every("decimal(38,0)") else "float" if every("float") else "string"
-    return first if first in counts and every(first) else "string"
+    return next((t for t in MAYBE.get(first, (first,)) if counts.get(t) == present), "string")
 
 
 def infer(df: DataFrame, columns: list[Column], readers: list[Cells], order: Column, pool: bool = False) -> list[Found]:
+    """First each column's first present cell, which costs no parsing; then only what its kind leaves open is counted."""
     out: list[Found] = []
-    kinds = ("int", "decimal(38,0)", "float", "date", "datetime", "time", "bool")
     for s in range(0, len(columns), CHUNK):
-        part = list(zip(range(s, min(s + CHUNK, len(columns))), columns[s : s + CHUNK], readers[s : s + CHUNK], strict=False))
-        row = df.agg(F.count("*").alias("rows"), *(a for k, c, r in part for a in summary(r.value(c), r, order, k, pool))).first()
-        for k, _, _ in part:
-            counts = {t: row[f"{t[0]}{j}_{k}"] for j, t in enumerate(kinds)}
-            out.append(Found(joined_kind(row[f"f{k}"], row[f"n{k}"], counts), row[f"f{k}"], row[f"n{k}"], row["rows"], row[f"lo{k}"], row[f"hi{k}"], row[f"u{k}"] if pool else None))
+        part = list(enumerate((r.value(c), r) for c, r in zip(columns[s : s + CHUNK], readers[s : s + CHUNK], strict=True)))
+        row = df.agg(F.count("*").alias("rows"), *(a for k, (c, _) in part for a in (F.count(c).alias(f"n{k}"), F.min_by(c, F.when(c.isNotNull(), order)).alias(f"c{k}")))).first()
+        firsts = df.sparkSession.range(1).select(*(F.when(F.lit(row[f"c{k}"]).isNotNull(), r.kind(F.lit(row[f"c{k}"]).cast("string"))).alias(f"k{k}") for k, (_, r) in part)).first()
+        asked = []
+        for k, (c, r) in part:
+            kind = firsts[f"k{k}"]
+            asked += [F.count(r.to(c, t)).alias(f"{t[0]}_{k}") for t in (MAYBE.get(kind, (kind,)) if kind else ())]
+            if kind == "int":
+                asked += [F.min(r.to(c, "int")).alias(f"lo_{k}"), F.max(r.to(c, "int")).alias(f"hi_{k}")]
+            if pool and kind == "string":
+                asked.append(F.approx_count_distinct(c, 0.01).alias(f"u_{k}"))
+        got = df.agg(*asked).first().asDict() if asked else {}
+        for k, _ in part:
+            kind = firsts[f"k{k}"]
+            counts = {t: got[f"{t[0]}_{k}"] for t in (MAYBE.get(kind, (kind,)) if kind else ())}
+            out.append(Found(joined_kind(kind, row[f"n{k}"], counts), kind, row[f"n{k}"], row["rows"], got.get(f"lo_{k}"), got.get(f"hi_{k}"), got.get(f"u_{k}")))
     return out
 
 
@@ -62,7 +65,7 @@ def smallest(low: int, high: int) -> str:
 
 
 def pooled(found: Found, pool, textual: bool) -> bool:
-    """Whether a column is worth a dictionary: few distinct values, and few for its rows."""
+    """Whether a column is worth a dictionary: few distinct values (counted within about 1 %), and few for its rows."""
     if pool is False or pool is None or found.distinct is None or not textual:
         return False
     share, most = (1.0, None) if pool is True else pool if isinstance(pool, tuple) else (pool, None)

@@ -130,7 +130,8 @@ def write_delimited(df: DataFrame, target, **options):
 
             if head is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([head])], names=["line"])
-            yield from batches
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0)], names=["line"])
 
         lines.mapInArrow(with_header, "line string").write.options(**text_options).mode("append" if o.append else "error").text(str(target))
         return target

@@ -174,6 +174,7 @@ def test_plan_and_pool(spark):
     df = read_delimited(spark, text.encode())
     assert [f.metadata["pooled"] for f in df.schema] == [True, False]
     assert [f.metadata["pooled"] for f in read_delimited(spark, text.encode(), pool=True).schema] == [True, True]
+    assert [f.metadata["pooled"] for f in read_delimited(spark, b"a\n1\n1\n", pool=True).schema] == [False]
 
 
 def test_stream(spark, tmp_path):
