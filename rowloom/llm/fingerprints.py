@@ -124,6 +124,14 @@ def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint")
     return numbered(rows, differing(rows.select(out, "_form"), out, "_form"), out).drop("_form")
 
 
+#: Rows of a few numbers or a hash that are sent to all tasks, at most; beyond them a shuffle joins.
+SENT = 200_000
+
+
+def sent_if_few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= SENT else df
+
+
 def numbered(rows: DataFrame, collided: DataFrame, out: str) -> DataFrame:
     """Appends a number to the fingerprints in ``collided``, by the rank of the form; the others need no shuffle."""
     if collided.isEmpty():
@@ -180,7 +188,7 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], rows_each: int = 1
     after = heads.crossJoin(F.broadcast(first)).select("_range", F.coalesce(F.lead("_head").over(Window.orderBy("_range")), F.col("_all")).alias("_after"))  # 4097 rows at most
     borders = firsts.join(after, "_range").select("_range", "_part", F.coalesce(F.lead("_first").over(Window.partitionBy("_range").orderBy("_part")), F.col("_after._first")).alias("_id"))
     rows = ranged(df.select(id_col, *columns)).withColumn("_border", F.lit(False))
-    border = df.select(id_col, *columns).join(borders, F.col(id_col).eqNullSafe(F.col("_id"))).select(id_col, *columns, "_range", "_part", F.lit(True).alias("_border"))
+    border = df.select(id_col, *columns).join(sent_if_few(borders, (len(points) + 2) * parts), F.col(id_col).eqNullSafe(F.col("_id"))).select(id_col, *columns, "_range", "_part", F.lit(True).alias("_border"))
     in_order = Window.partitionBy("_range", "_part").orderBy("_border", F.col(id_col).asc_nulls_first(), F.xxhash64(*columns))
     seen = rows.unionByName(border).select("*", *(F.lead(c).over(in_order).alias(f"next_{c}") for c in columns))
     return seen.filter(~F.col("_border")).drop("_range", "_part", "_border")
@@ -206,7 +214,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     odd = seen.groupBy("mark.hash").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").select("hash")
     forms = with_form(docs, F.col("text"), "_form").select(digest(F.col("_form")).alias("hash"), "_form")
     again = rows.groupBy("mark.hash").agg(F.count("*").alias("k")).filter("k > 1").select("hash")
-    ends = forms.join(again, "hash", "left_semi").groupBy("hash").agg(F.min("_form").alias("a"), F.max("_form").alias("b"))
+    again = materialize(again, "again")
+    ends = forms.join(sent_if_few(again, again.count()), "hash", "left_semi").groupBy("hash").agg(F.min("_form").alias("a"), F.max("_form").alias("b"))
     named = lambda m: F.col(f"{m}.hash")
     if not (odd.isEmpty() and ends.filter("a <> b").isEmpty()):
         named = lambda m: F.concat(F.col(f"{m}.hash"), F.lit("-"), F.col(f"{m}.n").cast("string"), F.lit("-"), F.hex(F.col(f"{m}.check")))
