@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 # fixed values: SPDX names, full names and short notices of public licences
 NAMES = {
@@ -89,6 +89,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
     told = F.coalesce(is_license_file if is_license_file is not None else F.col("path").rlike(LICENSE_FILE), F.lit(False))
     rows = rows.withColumn("told", told & F.col("license").isNotNull()).select("path", "license", "score", "line", "told", folder.alias("folder"))
+    rows = materialize(rows, "licenses")  # texts are read and compared once
     licensed = rows.filter("told AND folder IS NOT NULL").groupBy("folder").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license"))["license"].alias("given"))
     folders = rows.filter("license IS NULL AND folder IS NOT NULL").select("folder").distinct()
     parts = F.split("folder", "/")
