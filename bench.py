@@ -3,6 +3,7 @@
 import json
 import os
 import statistics
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -47,6 +48,7 @@ def main() -> None:
             run()
             times.append(time.time() - began)
         took[name] = round(statistics.median(times), 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "sum of medians of warm runs", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(DIR.rstrip("/")).removeprefix("sf"), "cpus": int(CPUS)}))
 
 
