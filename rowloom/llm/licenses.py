@@ -59,16 +59,37 @@ def templates() -> tuple[list[dict], dict[str, float], float]:
     return out, idf, math.log(1 + len(texts)) + 1
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def best_template(line: Column) -> Column:
     """struct(score, name) of the template nearest to a line; ties go to the later name."""
     found, idf, other = templates()
-    all_ = F.from_json(F.lit(json.dumps(found)), "array<struct<name: string, terms: array<struct<t: string, w: double>>>>")
+    at = {t: k for k, t in enumerate(idf, 1)}
+    placed = [{"name": x["name"], "terms": [{"t": at[y["t"]], "w": y["w"]} for y in x["terms"]]} for x in found]
+    all_ = F.from_json(F.lit(json.dumps(placed)), "array<struct<name: string, terms: array<struct<t: int, w: double>>>>")
+    vocabulary = F.from_json(F.lit(json.dumps(list(idf))), "array<string>")
     of = F.from_json(F.lit(json.dumps(idf)), "map<string, double>")
-    terms = F.filter(F.split(F.lower(line), SPLIT), lambda t: t != "")
-    times = lambda t: F.size(F.filter(terms, lambda x: x == t))
-    squares = F.aggregate(F.array_distinct(terms), F.lit(0.0), lambda s, t: s + F.pow(times(t) * F.coalesce(F.element_at(of, t), F.lit(other)), F.lit(2)))
-    dot = lambda x: F.aggregate(x["terms"], F.lit(0.0), lambda s, t: s + times(t["t"]) * t["w"])
-    return F.array_max(F.transform(all_, lambda x: F.struct(F.when(squares > 0, dot(x) / F.sqrt(squares)).otherwise(0.0).alias("score"), x["name"].alias("name"))))
+
+    def squares(terms: Column) -> Column:
+        """The squared length of a vector, by runs of equal terms."""
+        state = lambda total, last, n: F.struct(total.alias("total"), last.alias("last"), n.alias("n"))
+        square = lambda s: F.pow(s["n"] * F.coalesce(F.element_at(of, s["last"]), F.lit(other)), F.lit(2))
+        step = lambda s, t: F.when(s["last"] == t, state(s["total"], t, s["n"] + 1)).otherwise(state(s["total"] + square(s), t, F.lit(1)))
+        return F.aggregate(terms, state(F.lit(0.0), F.lit(""), F.lit(0)), step, lambda s: s["total"] + square(s))
+
+    def counts(terms: Column) -> Column:
+        """How often each term of the templates occurs."""
+        return bound(F.filter(terms, lambda t: F.array_contains(vocabulary, t)), lambda known: F.transform(vocabulary, lambda v: F.size(F.filter(known, lambda t: t == v))))
+
+    def nearest(v: Column) -> Column:
+        dot = lambda x: F.aggregate(x["terms"], F.lit(0.0), lambda s, t: s + F.element_at(v["counts"], t["t"]) * t["w"])
+        return F.array_max(F.transform(all_, lambda x: F.struct(F.when(v["squares"] > 0, dot(x) / F.sqrt(v["squares"])).otherwise(0.0).alias("score"), x["name"].alias("name"))))
+
+    terms = F.sort_array(F.filter(F.split(F.lower(line), SPLIT), lambda t: t != ""))
+    return bound(bound(terms, lambda t: F.struct(squares(t).alias("squares"), counts(t).alias("counts"))), nearest)
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = 0.6, is_license_file: Column | None = None) -> DataFrame:
