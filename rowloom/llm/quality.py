@@ -103,7 +103,8 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     """Adds score and predicted; learns only from rows outside ``held_out``. Null ids and repeated rows are scored, too."""
     model = fit_documents(docs, labels.filter(~held_out(F.col("doc_id"))))
     rows, names = statistics(docs.drop("score", "predicted"))
-    return rows.withColumn("score", model.score()).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop(*names)
+    rows = rows.select("*", F.inline(F.array(F.struct(model.score().alias("score")))))  # a filter on the score isn't pushed below it, to count everything again
+    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop(*names)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
