@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, tune
+from .common import shuffle_partitions, table, tune
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -177,14 +177,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
             hosts, digests = [], []
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = {number(n.digest) for n in walk(hashed(parse(text or "")))}
-                hosts += [name] * (len(found) + 1)
-                digests += [None, *found]
+                hosts += [name] * len(found)
+                digests += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], names=["host", "digest"])
 
     counts = pages.select(host(url_col), html_col).mapInArrow(subtrees, "host string, digest bigint").groupBy("host", "digest").agg(F.count("*").alias("n"))
     many = counts.filter(F.col("n") >= least_pages)
-    hosts = many.filter("digest IS NULL").select("host", F.col("n").alias("pages"))
-    recurring = many.filter("digest IS NOT NULL").join(hosts, "host").filter(F.col("n") > share * F.col("pages"))
+    hosts = pages.select(host(url_col).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    recurring = many.join(hosts, "host").filter(F.col("n") > share * F.col("pages"))
     lists = recurring.groupBy("host").agg(F.collect_list("digest").alias("_template"), F.collect_list(F.when(F.col("n") > article_share * F.col("pages"), F.col("digest"))).alias("_article_template"))
 
     def texts(batches):
@@ -195,7 +195,13 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
                 found.append(main_text(hashed(parse(text or "")), *both))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found, pa.string())], names=[*kept, out])
 
-    joined = pages.select(*kept).withColumn("_host", host(url_col)).join(lists, F.col("_host") == F.col("host"), "left").select(*kept, "_template", "_article_template")
+    # hosts with more pages than a partition's share are dealt to several; they are one for each shuffle partition at most
+    each = max(1, pages.count() // shuffle_partitions(pages.sparkSession))
+    hot = F.broadcast(hosts.filter(F.col("pages") > each).select(F.col("host").alias("_hot"), F.ceil(F.col("pages") / each).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    salted = lists.join(hot, F.col("host") == F.col("_hot"), "left").select(F.col("host").alias("_of"), "_template", "_article_template", F.explode(F.sequence(F.lit(1).cast("long"), salts)).alias("_part"))
+    dealt = pages.select(*kept).withColumn("_host", host(url_col)).join(hot, F.col("_host") == F.col("_hot"), "left").withColumn("_salt", 1 + F.pmod(F.monotonically_increasing_id(), salts))
+    joined = dealt.join(salted, (F.col("_host") == F.col("_of")) & (F.col("_salt") == F.col("_part")), "left").select(*kept, "_template", "_article_template")
     return joined.mapInArrow(texts, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
 
 
