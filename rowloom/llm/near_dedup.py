@@ -7,9 +7,11 @@
 2. Documents with equal shingles are one class before any pair is looked at; each class has a representative.
 3. Improved consistent weighted sampling gives each representative its samples, in bands. Bands are grouped with
    partial minima: a member is linked to the least member of its bucket, and to the least of those that also share one
-   and two further samples. That is three links a band at most, never all pairs of a bucket.
+   and two further samples. That is three links a band at most; most members of a bucket are connected by them.
 4. Links are verified by the exact weighted Jaccard similarity of the two texts, and connected by large-star and
    small-star steps, each written to the shared folder.
+5. What a bucket still holds apart is compared in full: its members are dealt to chunks, each pair of chunks is one
+   group, and all pairs of members in different components are compared there. Found links are connected as before.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table, texts, tune
 
 CELLS, BLOCK = 1 << 20, 1 << 12
+#: Members of a bucket that are compared with as many others in one group, about.
+CHUNK = 200
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -158,12 +162,51 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def bridges(members: list[tuple[int, int, int, np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect members (id, component, side, shingles, weights) of different components that are alike.
+
+    Members of two sides are compared across them, those of one side with each other; links within what is connected
+    already are left out.
+    """
+    n, top = len(members), {c: c for _, c, _, _, _ in members}
+
+    def find(c):
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    vocabulary, at = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True)
+    weights, sizes = np.concatenate([m[4] for m in members]), np.asarray([len(m[3]) for m in members])
+    starts = np.cumsum(sizes) - sizes
+    totals = np.add.reduceat(weights, starts, dtype=np.float64)
+    component, side = np.unique([m[1] for m in members], return_inverse=True)[1], np.asarray([m[2] for m in members])
+    table, out = np.zeros(len(vocabulary), np.float32), []
+    both = len(np.unique(side)) > 1
+    for i in range(n - 1):
+        open_ = component[i + 1 :] != component[i]
+        if both:
+            open_ &= side[i + 1 :] != side[i]
+        if not open_.any():
+            continue
+        first, last = starts[i], starts[i] + sizes[i]
+        table[at[first:last]] = weights[first:last]
+        shared = np.add.reduceat(np.minimum(table[at[last:]], weights[last:]), starts[i + 1 :] - last, dtype=np.float64)
+        table[at[first:last]] = 0
+        alike = shared / (totals[i + 1 :] + totals[i] - shared) >= threshold - 1e-6
+        for j in (np.flatnonzero(alike & open_) + i + 1).tolist():
+            a, b = find(members[i][1]), find(members[j][1])
+            if a != b and similarity(members[i][3:], members[j][3:]) >= threshold:
+                top[a] = b
+                out.append((members[i][0], members[j][0]))
+    return out
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, idf: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of the class) and exact_id (the least id with equal shingles) for every row.
 
     Texts without words are one class; a null id is compared as the least integer and given back as null; rows that
     repeat an id each get a row. An empty table gives no rows. A pair at the threshold shares a bucket with probability
-    1 - (1 - threshold ** rows) ** bands, 0.9998 by default.
+    1 - (1 - threshold ** rows) ** bands, 0.9998 by default; one that does is in one class, however large the bucket.
     """
     spark = df.sparkSession
     tune(spark)
@@ -238,6 +281,28 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
 
     near = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
     joined = components(near)
+
+    # all else that buckets hold: pairs of members that no verified link connects
+    placed = banded.select("id", F.col("k0").alias("k")).join(joined, "id", "left").withColumn("component", F.coalesce("least", "id")).drop("least")
+    size_of = placed.groupBy("k").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
+    size_of = size_of.filter("n > 2 AND c <> d").select("k", F.ceil(F.col("n") / CHUNK).alias("chunks"))  # two members are verified already
+    chunk = F.pmod(F.xxhash64("id", "k"), F.col("chunks"))
+    members = placed.join(size_of, "k").withColumn("chunk", chunk)
+    members = members.select("id", "component", "k", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    members = members.select("id", "component", "k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+
+    def compare(group):
+        w = weights()
+        ids, component, side, text = (group.column(c).to_pylist() for c in ("id", "component", "chunk", "text"))
+        found = ((i, c, s, *shingles(x, size)) for i, c, s, x in zip(ids, component, side, text, strict=True))
+        links = bridges([(i, c, s, f, w(f, times)) for i, c, s, f, times in found], threshold) if len(set(component)) > 1 else []
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    read = first.select(F.col("a").alias("id"), F.col("x").alias("text"))
+    more = members.join(read, "id").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    more = materialize(more, "bridges")
+    if not more.isEmpty():
+        joined = components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("least").alias("b"))))
     classes = ids.join(joined, ids["exact_id"] == joined["id"], "left").select("doc_id", F.coalesce("least", "exact_id").alias("class_id"), "exact_id")
     null = lambda c: F.when(F.col(c) != -(2**63), F.col(c)).alias(c)
     return classes.select(null("doc_id"), null("class_id"), null("exact_id"))
