@@ -1,13 +1,13 @@
 """Language-model scores from an n-gram trie in Elias-Fano form.
 
 Level 1 holds all training words as the ascending sequence of their 64-bit hashes, with exact counts; a word's place is
-its number. Level 2 holds the kept pairs as the ascending sequence of context * words + word, so that the words after
+its number. Level 2 holds all pairs as the ascending sequence of context * words + word, so that the words after
 a context lie together, relative to it; a monotone list of pointers says where each context's begin, beside the
 quantised weight that it leaves to level 1. Probabilities are quantised, too. Spark counts words and pairs, deals them
 to ranges and each task writes its range as one file to the shared folder; scoring tasks map those files into memory
 and look up a batch's distinct words and pairs by successor search.
 
-p(w | v) = max(c(v, w) - D, 0) / c(v) over kept pairs + left(v) * (c(w) + 1) / (N + V + 1): sums to 1 for every v.
+p(w | v) = max(c(v, w) - D, 0) / c(v) + left(v) * (c(w) + 1) / (N + V + 1): sums to 1 for every v.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from collections import Counter, defaultdict
 from itertools import count
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ END = b" end"  # no word holds a space
 SIGN = np.uint64(1 << 63)
 #: Quantised log10 of probabilities: 16 bits over this range.
 LEAST_LOG = -14.0
+#: A pair's key is context * words + word, in 63 bits.
+MOST_WORDS = isqrt(1 << 63)
 SELECT = np.zeros((256, 8), np.uint8)
 for _b in range(256):
     for _k, _at in enumerate(k for k in range(8) if _b >> k & 1):
@@ -265,10 +268,11 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, word_keys: int = 2_000_000, pair_keys: int = 4_000_000, least_word: int = 10, least_pair: int = 2, discount: float = 0.75) -> dict:
+def train(docs: DataFrame, word_keys: int = 2_000_000, pair_keys: int = 4_000_000, least_word: int = 1, least_pair: int = 1, discount: float = 0.75) -> dict:
     """The trie of all texts of ``docs`` (doc_id, text), as what a Scorer needs: paths, first keys of files, N and V.
 
-    Words in pairs occur ``least_word`` times, pairs ``least_pair`` times, at least; what is left out is backed off.
+    By default it holds every pair. With ``least_word`` and ``least_pair``, words in pairs and pairs occur so many times at
+    least; what is left out is backed off. More than MOST_WORDS words are an error.
     """
     spark = docs.sparkSession
 
@@ -290,8 +294,10 @@ def train(docs: DataFrame, word_keys: int = 2_000_000, pair_keys: int = 4_000_00
     sent = {k: shared_path(spark, f"trie-{k}") for k in ("word_path", "pair_path", "context_path")} | {"V": n_words, "N": n_tokens, "pair_starts": [], "context_starts": []}
     narrow = lambda a: a.astype("<u4") if not len(a) or a.max() < 1 << 32 else a.astype("<i8")
     sent["word_starts"] = write_level(counts, "key", word_keys, sent["word_path"], n_words, lambda a, x: {"counts": narrow(a["n"])})
-    if not n_words or n_words >= 3 << 30:
+    if not n_words:
         return sent
+    if n_words > MOST_WORDS:
+        raise ValueError(f"{n_words} distinct words: keys of pairs hold {MOST_WORDS} at most")
     here = spark.sparkContext.broadcast(sent)  # first keys of files
 
     def count_pairs(batches):
