@@ -24,16 +24,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, written once: ids can be null or repeated."""
+    return materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates; null ids are kept."""
-    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
+    """One row of each class of near duplicates, that with the least id; rows without an id come last."""
+    docs = keyed(docs)
+    classes = near_duplicates(docs, id_col="row").select(F.col("doc_id").alias("row"), F.col("class_id").alias("class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
+    kept = docs.select("row", "doc_id").join(classes, "row").groupBy("class").agg(first["row"].alias("row")).select("row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage; null ids are judged by their texts, too."""
-    named = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(named, docs["doc_id"].eqNullSafe(named["doc_id"]), "left_anti")
+    """Rows without any benchmark passage, each judged by its text."""
+    docs = keyed(docs)
+    named = contamination(docs, table(spark, sf_dir, "benchmark"), id_col="row").filter("contaminated").select(F.col("doc_id").alias("row"))
+    return docs.join(named, "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from rowloom.llm import language_model as lm
 from rowloom.llm import near_dedup
 
@@ -40,3 +41,16 @@ def test_op5_too_many_words(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "one two three"), (2, "four five")], "doc_id bigint, text string")
     with pytest.raises(ValueError, match="6 distinct words"):
         lm.train(docs)
+
+
+def test_pipeline_rows_not_ids(spark):
+    """Rows that share an id, or have none, are judged by their own texts."""
+    passage = spark.read.parquet(f"{SMALL}/benchmark.parquet").filter("size(split(text, ' ')) > 12").first()["text"]
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = lambda *pairs: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], schema)
+    texts = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    left = corpus_pipeline.drop_contaminated(spark, rows((None, passage), (None, a), (1, passage), (1, b), (2, c)), SMALL)
+    assert texts(left) == [("1", b), ("2", c), ("None", a)]
+    left = corpus_pipeline.drop_near_duplicates(spark, rows((1, a), (1, b), (2, b + " end"), (None, c), (None, c + " end"), (None, d)), SMALL)
+    assert texts(left) in ([("1", a), ("1", b), ("None", x), ("None", d)] for x in (c, c + " end"))
