@@ -1,10 +1,10 @@
 """Main text of web pages by removing site templates.
 
-Each page is parsed to a tree and every element's subtree is hashed. Spark counts the pages of each hash for each host
-(partial counts before the shuffle); subtrees that recur on many of a host's pages are its template and are deleted
+Each page is parsed to a tree and every element's subtree is hashed. Spark counts the different bodies (marked article,
+or else page) with each hash for each host, so that copies of a page count once; subtrees that recur on many of a host's pages are its template and are deleted
 when the pages are read again. A share of the pages can hold only so many subtrees, so a host's list is bounded by its
 mean page. Elements that are never main text (menus, forms, scripts and such, by tag, role or class) go as well, and
-where a page marks its article, only that is kept.
+where a page marks its article, only that is kept, with whatever recurs in it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, table, tune
+from .common import materialize, shuffle_partitions, table, tune
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -27,11 +27,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+#: Elements whose inline elements are parts of their text.
+RUNS = frozenset("p h1 h2 h3 h4 h5 h6 li dd td pre blockquote".split())
 NEVER = frozenset("head script style noscript template iframe nav footer aside form button select textarea input svg canvas object embed menu dialog title xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLASSES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus replies share sharing social related recommended widget pagination pager".split())
 
 
+#: Stands for a whole page among the numbers of subtrees.
+WHOLE = 0
+
+
 class Node:
     __slots__ = ("attributes", "children", "digest", "tag")
 
@@ -135,11 +141,16 @@ def articles(root: Node) -> list[Node]:
     return found["article"] or found["main"] or [root]
 
 
-def main_text(root: Node, template: frozenset[int], article_template: frozenset[int]) -> str:
+def body(root: Node) -> int:
+    """A number for what a page says: equal for copies of an article, whatever surrounds it."""
+    return number(xxhash.xxh3_64_digest(b"".join(a.digest for a in articles(root))))
+
+
+def main_text(root: Node, template: frozenset[int]) -> str:
     blocks: list[list[str]] = [[]]
     for article in articles(root):
         inside = article is not root
-        gone = article_template if inside else template
+        gone = frozenset() if inside else template
         blocks.append([])
         stack: list = [iter(article.children)]
         tags = [article.tag]
@@ -149,7 +160,7 @@ def main_text(root: Node, template: frozenset[int], article_template: frozenset[
                     blocks[-1].append(c)
                 elif c.tag == "br":
                     blocks[-1].append(" ")
-                elif not dropped(c, inside) and number(c.digest) not in gone:
+                elif not dropped(c, inside) and (number(c.digest) not in gone or tags[-1] in RUNS and c.tag not in BLOCK):
                     if c.tag in BLOCK:
                         blocks.append([])
                     stack.append(iter(c.children))
@@ -162,46 +173,50 @@ def main_text(root: Node, template: frozenset[int], article_template: frozenset[
     return "\n".join(x for b in blocks if (x := " ".join(html.unescape("".join(b)).split())))
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text", share: float = 0.1, article_share: float = 0.5, least_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text", share: float = 0.1, least_pages: int = 5) -> DataFrame:
     """Adds the main text (empty if none) to every page; other columns stay, but for an older one of its name.
 
-    A subtree on more than ``share`` of a host's pages, ``least_pages`` at least, is template; within a marked article
-    it has to be on more than ``article_share``. Null or empty html gives an empty text, null or odd urls share one
-    empty host, repeated rows count as pages. An empty table gives no rows.
+    A subtree on more than ``share`` of a host's different pages, ``least_pages`` at least, is template, but for inline
+    parts of a paragraph or its like and all within a marked article. Null or empty html gives an empty text, null or
+    odd urls share one empty host, copies count as one page. An empty table gives no rows.
     """
     tune(pages.sparkSession)
     kept = [c for c in pages.columns if c != out]
 
     def subtrees(batches):
         for b in batches:
-            hosts, digests = [], []
+            hosts, digests, bodies = [], [], []
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {number(n.digest) for n in walk(hashed(parse(text or "")))}
+                root = parse(text or "")
+                found = {number(n.digest) for n in walk(hashed(root))}
+                root.digest = xxhash.xxh3_64_digest(b"".join(c.digest if isinstance(c, Node) else c.encode(errors="replace") for c in root.children))
+                found.add(WHOLE)
                 hosts += [name] * len(found)
                 digests += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], names=["host", "digest"])
+                bodies += [body(root)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(bodies, pa.int64())], names=["host", "digest", "body"])
 
-    counts = pages.select(host(url_col), html_col).mapInArrow(subtrees, "host string, digest bigint").groupBy("host", "digest").agg(F.count("*").alias("n"))
-    many = counts.filter(F.col("n") >= least_pages)
+    found = pages.select(host(url_col), html_col).mapInArrow(subtrees, "host string, digest bigint, body bigint").distinct()
+    counts = materialize(found.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages), "subtrees")
+    different = counts.filter(F.col("digest") == WHOLE).select("host", F.col("n").alias("different"))
     hosts = pages.select(host(url_col).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
-    recurring = many.join(hosts, "host").filter(F.col("n") > share * F.col("pages"))
-    lists = recurring.groupBy("host").agg(F.collect_list("digest").alias("_template"), F.collect_list(F.when(F.col("n") > article_share * F.col("pages"), F.col("digest"))).alias("_article_template"))
+    recurring = counts.filter(F.col("digest") != WHOLE).join(different, "host").filter(F.col("n") > share * F.col("different"))
+    lists = recurring.groupBy("host").agg(F.collect_list("digest").alias("_template"))
 
     def texts(batches):
         for b in batches:
             found = []
-            for text, *both in zip(b.column(html_col).to_pylist(), b.column("_template").to_pylist(), b.column("_article_template").to_pylist(), strict=True):
-                both = [frozenset(x or ()) for x in both]
-                found.append(main_text(hashed(parse(text or "")), *both))
+            for text, template in zip(b.column(html_col).to_pylist(), b.column("_template").to_pylist(), strict=True):
+                found.append(main_text(hashed(parse(text or "")), frozenset(template or ())))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found, pa.string())], names=[*kept, out])
 
     # hosts with more pages than a partition's share are dealt to several; they are one for each shuffle partition at most
     each = max(1, pages.count() // shuffle_partitions(pages.sparkSession))
     hot = F.broadcast(hosts.filter(F.col("pages") > each).select(F.col("host").alias("_hot"), F.ceil(F.col("pages") / each).alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1).cast("long"))
-    salted = lists.join(hot, F.col("host") == F.col("_hot"), "left").select(F.col("host").alias("_of"), "_template", "_article_template", F.explode(F.sequence(F.lit(1).cast("long"), salts)).alias("_part"))
+    salted = lists.join(hot, F.col("host") == F.col("_hot"), "left").select(F.col("host").alias("_of"), "_template", F.explode(F.sequence(F.lit(1).cast("long"), salts)).alias("_part"))
     dealt = pages.select(*kept).withColumn("_host", host(url_col)).join(hot, F.col("_host") == F.col("_hot"), "left").withColumn("_salt", 1 + F.pmod(F.monotonically_increasing_id(), salts))
-    joined = dealt.join(salted, (F.col("_host") == F.col("_of")) & (F.col("_salt") == F.col("_part")), "left").select(*kept, "_template", "_article_template")
+    joined = dealt.join(salted, (F.col("_host") == F.col("_of")) & (F.col("_salt") == F.col("_part")), "left").select(*kept, "_template")
     return joined.mapInArrow(texts, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
 
 

@@ -5,8 +5,8 @@ import random
 import pytest
 
 import corpus_pipeline
+from rowloom.llm import html_text, near_dedup
 from rowloom.llm import language_model as lm
-from rowloom.llm import near_dedup
 
 from .conftest import SMALL
 from .test_op_5 import plain
@@ -54,3 +54,15 @@ def test_pipeline_rows_not_ids(spark):
     assert texts(left) == [("1", b), ("2", c), ("None", a)]
     left = corpus_pipeline.drop_near_duplicates(spark, rows((1, a), (1, b), (2, b + " end"), (None, c), (None, c + " end"), (None, d)), SMALL)
     assert texts(left) in ([("1", a), ("1", b), ("None", x), ("None", d)] for x in (c, c + " end"))
+
+
+def test_op8_copies(spark):
+    """Hosts whose pages are mostly copies, with and without a marked article, and words that recur within paragraphs."""
+    menu = "<div><span>Site name</span> <i>since 1999</i></div>"
+    marked = [("http://a.example.com/", f"<nav>{k}</nav><article><h1>Copied</h1><p>Same story.</p></article>", "Copied\nSame story.") for k in range(12)]
+    marked += [("http://a.example.com/", f"<article><h1>Page {k}</h1><p>Story {k}.</p></article>", f"Page {k}\nStory {k}.") for k in range(6)]
+    plain = [("http://b.example.com/", f"{menu}<p>A copied story.</p>", "A copied story.")] * 12
+    plain += [("http://b.example.com/", f"{menu}<p><b>Note</b> {k}</p>", f"Note {k}") for k in range(30)]
+    rows = [(i, *r) for i, r in enumerate(marked + plain)]
+    got = html_text.extract(spark.createDataFrame([r[:3] for r in rows], "id int, url string, html string")).collect()
+    assert {r["id"]: r["text"] for r in got} == {r[0]: r[3] for r in rows}
