@@ -4,14 +4,14 @@
    A cell adds to a shingle's frequency what others put there: a share of the documents that doesn't grow with their
    number, so that weights behave alike at every size. Weights lie between 1 and 1 + ``idf`` times the frequency in a
    document, so that large groups of copies, whose shingles are frequent for that reason, stay similar.
-2. Documents with equal shingles are one class before any pair is looked at; each class has a representative.
-3. Improved consistent weighted sampling gives each representative its samples, in bands. Bands are grouped with
-   partial minima: a member is linked to the least member of its bucket, and to the least of those that also share one
-   and two further samples. That is three links a band at most; most members of a bucket are connected by them.
-4. Links are verified by the exact weighted Jaccard similarity of the two texts, and connected by large-star and
-   small-star steps, each written to the shared folder.
-5. What a bucket still holds apart is compared in full: its members are dealt to chunks, each pair of chunks is one
-   group, and all pairs of members in different components are compared there. Found links are connected as before.
+2. Rows are read once for their samples and written with a number of their own, the digest of their shingles and the
+   compressed text. Rows with equal shingles are one node before any pair is looked at; its number is the least row's.
+   Ids play no part until the end, so that they may be null or repeated.
+3. Improved consistent weighted sampling gives each node its samples, in bands. Each member of a band's bucket is linked
+   to the least member; links are verified by the exact weighted Jaccard similarity of the two texts, and connected by
+   large-star and small-star steps, each written to the shared folder.
+4. What a bucket still holds apart is compared in full: members outside the least one's component are compared with all
+   others, dealt to chunks of bounded size. Found links are connected as before.
 """
 
 from __future__ import annotations
@@ -104,29 +104,30 @@ class Weights:
 
 
 class Sampler:
-    """Improved consistent weighted sampling. The random numbers of a shingle are a row of tables, chosen by its hash."""
+    """Improved consistent weighted sampling. The random numbers of a shingle are rows of three tables, chosen by different bits of its hash: two shingles hardly ever share all three."""
 
     ROWS = 1 << 14
 
     def __init__(self, samples: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         shape = (self.ROWS, samples)
-        r, c, b = rng.gamma(2, 1, shape), rng.gamma(2, 1, shape), rng.random(shape)
-        self.inverse, self.b, self.r, self.c = (x.astype(np.float32) for x in (1 / r, b, r, np.log(c) - r * (1 - b)))
+        self.r, self.b, self.c = (x.astype(np.float32) for x in (rng.gamma(2, 1, shape), rng.random(shape), np.log(rng.gamma(2, 1, shape))))
+        self.inverse = 1 / self.r
 
     def __call__(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For each sample a hash of the shingle with the least value and of its level."""
         best, out = None, None
         for s in range(0, len(found), 2048):
             f = found[s : s + 2048]
-            row = (f >> np.uint64(40)).astype(np.int64) & (self.ROWS - 1)
-            level = np.floor(np.log(weights[s : s + 2048])[:, None] * self.inverse[row] + self.b[row])
-            value = self.c[row] - self.r[row] * level
-            k = value.argmin(axis=0)
+            i, j, k = ((f >> np.uint64(shift)).astype(np.int64) & (self.ROWS - 1) for shift in (50, 36, 22))
+            b = self.b[j]
+            level = np.floor(np.log(weights[s : s + 2048])[:, None] * self.inverse[i] + b)
+            value = self.c[k] - self.r[i] * (level + 1 - b)
+            least = value.argmin(axis=0)
             at = np.arange(value.shape[1])
             with np.errstate(over="ignore"):
-                h = mixed(f[k] + level[k, at].astype(np.int64).view(np.uint64) * M2)
-            v = value[k, at]
+                h = mixed(f[least] + level[least, at].astype(np.int64).view(np.uint64) * M2)
+            v = value[least, at]
             if best is None:
                 best, out = v, h
             else:
@@ -163,7 +164,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def bridges(members: list[tuple[int, int, int, np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
-    """Links that connect members (id, component, side, shingles, weights) of different components that are alike.
+    """Links that connect members (node, component, side, shingles, weights) of different components that are alike.
 
     Members of two sides are compared across them, those of one side with each other; links within what is connected
     already are left out.
@@ -202,15 +203,17 @@ def bridges(members: list[tuple[int, int, int, np.ndarray, np.ndarray]], thresho
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4, idf: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least id of the class) and exact_id (the least id with equal shingles) for every row.
+    """doc_id, class_id (the least id of the class), exact_id (the least id with equal shingles) and class_key for every row.
 
-    Texts without words are one class; a null id is compared as the least integer and given back as null; rows that
-    repeat an id each get a row. An empty table gives no rows. A pair at the threshold shares a bucket with probability
-    1 - (1 - threshold ** rows) ** bands, 0.9998 by default; one that does is in one class, however large the bucket.
+    Texts without words are one class. Classes are of rows, not ids: rows that repeat an id each get a row, with the
+    class of their own text, and two classes can then have one class_id; ``class_key`` tells them apart. Null ids stay
+    null and are the least of a class only where it has no others. Very long texts are compared whole; an empty table
+    gives no rows. A pair at the threshold shares a bucket with probability 1 - (1 - threshold ** rows) ** bands,
+    0.9998 by default; one that does is in one class, however large the bucket.
     """
     spark = df.sparkSession
     tune(spark)
-    docs = texts(df, id_col, text_col).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    docs = texts(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = docs.count()
     cells = document_frequencies(docs, size)
     sent = spark.sparkContext.broadcast((cells, n, idf))  # CELLS numbers
@@ -222,56 +225,52 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
         return state["w"]
 
     def sample(batches):
-        sampler, w = Sampler(bands * rows), weights()
+        """Each row with the digest of its shingles, the hashes of its bands, and its text, compressed."""
+        sampler, w, pack = Sampler(bands * rows), weights(), zstandard.ZstdCompressor(3).compress
         for b in batches:
-            both, samples = [], []
+            same, keys, packed = [], [], []
             for t in b.column("text").to_pylist():
                 found, times = shingles(t, size)
-                both.append(xxhash.xxh3_128_digest(found.tobytes() + times.tobytes()))
-                samples.append(sampler(found, w(found, times)).tobytes() if len(found) else b"")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(both, pa.binary()), pa.array(samples, pa.binary())], names=["doc_id", "same", "samples"])
+                same.append(xxhash.xxh3_128_digest(found.tobytes() + times.tobytes()))
+                samples = sampler(found, w(found, times)).tobytes() if len(found) else b""
+                keys.append(b"".join(xxhash.xxh3_64_digest(samples[8 * rows * k : 8 * rows * (k + 1)], seed=k) for k in range(bands)) if samples else b"")
+                packed.append(pack(t.encode(errors="replace")))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *(pa.array(x, pa.binary()) for x in (same, keys, packed))], names=["row", "doc_id", "same", "keys", "packed"])
 
-    signed = materialize(docs.mapInArrow(sample, "doc_id bigint, same binary, samples binary"), "samples")
-    exact = materialize(signed.groupBy("same").agg(F.min("doc_id").alias("exact_id")), "exact")
-    ids = signed.select("doc_id", "same").join(exact, "same").select("doc_id", "exact_id")
+    signed = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(sample, "row bigint, doc_id bigint, same binary, keys binary, packed binary")
+    signed = materialize(signed, "samples")
+    exact = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("exact_id")), "nodes")
 
     def buckets(batches):
-        """A row for each band: its bucket's hash, and those with one and two samples of the next band in it."""
+        """A row for each band of a node: the hash of its bucket."""
         for b in batches:
-            ids, keys = [], [[], [], []]
-            for i, x in zip(b.column("exact_id").to_pylist(), b.column("samples").to_pylist(), strict=True):
+            at, keys = [], []
+            for i, x in zip(b.column("row").to_pylist(), b.column("keys").to_pylist(), strict=True):
                 if x:
-                    for k in range(bands):
-                        band = x[8 * rows * k : 8 * rows * (k + 1)]
-                        further = (x + x)[8 * rows * (k + 1) : 8 * rows * (k + 1) + 16]
-                        ids.append(i)
-                        for more, out in enumerate(keys):
-                            out.append(xxhash.xxh3_64_intdigest(band + further[: 8 * more], seed=4 * k + more))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.asarray(x, np.uint64).view(np.int64)) for x in keys)], names=["id", "k0", "k1", "k2"])
-
-    reps = signed.join(exact, "same").filter("doc_id = exact_id").select("exact_id", "samples")
-    banded = materialize(reps.mapInArrow(buckets, "id bigint, k0 bigint, k1 bigint, k2 bigint").distinct(), "bands")
-    pairs = None
-    for k in ("k0", "k1", "k2"):
-        centre = banded.groupBy(k).agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").select(k, "b")
-        linked = banded.select("id", k).join(centre, k).filter("id <> b").select(F.col("id").alias("a"), "b")
-        pairs = linked if pairs is None else pairs.unionByName(linked)
-    pairs = materialize(pairs.distinct(), "pairs")
-
-    few = docs.join(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_semi")
-    few = materialize(few.groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")  # repeated ids: texts of one row; the others link by equal shingles or not at all
-    first = few.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    second = few.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+                    at.append(i), keys.append(x)
+            at, keys = np.repeat(np.asarray(at, np.int64), bands), np.frombuffer(b"".join(keys), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(keys)], names=["node", "k"])
+
+    nodes = exact.select(F.col("node").alias("row"))
+    banded = materialize(signed.select("row", "keys").join(nodes, "row", "left_semi").mapInArrow(buckets, "node bigint, k bigint"), "bands")
+    centres = banded.groupBy("k").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    members = materialize(banded.join(centres, "k").select("k", "node", "b", "n"), "members")
+    pairs = members.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    shared = members.select(F.col("node").alias("row")).distinct()
+    read = materialize(signed.select("row", "packed").join(shared, "row", "left_semi"), "candidates")
+
+    def opened(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        found, times = shingles(zstandard.ZstdDecompressor().decompress(packed).decode(), size)
+        return found, weights()(found, times)
 
     def verify(batches):
-        w, held = weights(), {}
+        held: dict = {}
 
-        def vector(i, text):
+        def vector(i, packed):
             if i not in held:
                 if len(held) > 500:
                     held.clear()
-                found, times = shingles(text, size)
-                held[i] = found, w(found, times)
+                held[i] = opened(packed)
             return held[i]
 
         for b in batches:
@@ -279,33 +278,35 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
             ok = [similarity(vector(*p), vector(*q)) >= threshold for p, q in zip(zip(a, x, strict=True), zip(c, y, strict=True), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    first, second = read.select(F.col("row").alias("a"), F.col("packed").alias("x")), read.select(F.col("row").alias("b"), F.col("packed").alias("y"))
     near = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
     joined = components(near)
 
-    # all else that buckets hold: pairs of members that no verified link connects
-    placed = banded.select("id", F.col("k0").alias("k")).join(joined, "id", "left").withColumn("component", F.coalesce("least", "id")).drop("least")
-    size_of = placed.groupBy("k").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
-    size_of = size_of.filter("n > 2 AND c <> d").select("k", F.ceil(F.col("n") / CHUNK).alias("chunks"))  # two members are verified already
-    chunk = F.pmod(F.xxhash64("id", "k"), F.col("chunks"))
-    members = placed.join(size_of, "k").withColumn("chunk", chunk)
-    members = members.select("id", "component", "k", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    members = members.select("id", "component", "k", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+    # all else that buckets hold: members that no verified link connects with the least one are compared with all others
+    component = lambda c, name: joined.select(F.col("id").alias(c), F.col("least").alias(name))
+    placed = members.filter("n > 2").select("k", "node", "b").join(component("node", "own"), "node", "left").join(component("b", "top"), "b", "left")
+    placed = placed.select("k", "node", F.coalesce("own", "node").alias("component"), F.coalesce("top", "b").alias("main")).withColumn("rest", F.col("component") != F.col("main"))
+    sizes = placed.groupBy("k").agg(F.sum(F.col("rest").cast("long")).alias("r"), F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
+    chunks = lambda of: F.ceil(of / CHUNK)
+    sizes = sizes.filter("c <> d").select("k", chunks(F.col("r")).alias("rests"), chunks(F.col("n") - F.col("r")).alias("mains"))
+    dealt = placed.join(sizes, "k").withColumn("chunk", F.when(F.col("rest"), F.pmod(F.xxhash64("node", "k"), "rests")).otherwise(-1 - F.pmod(F.xxhash64("node", "k"), "mains")))
+    upto = lambda of: F.transform(F.sequence(F.lit(1).cast("long"), of), lambda x: x - 1)
+    others = F.when(F.col("rest"), F.concat(upto(F.col("rests")), F.transform(upto(F.col("mains")), lambda x: -1 - x))).otherwise(upto(F.col("rests")))
+    dealt = dealt.select("k", "node", "component", "chunk", F.explode(others).alias("other"))
+    dealt = dealt.select("k", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.col("node").alias("row"))
 
     def compare(group):
-        w = weights()
-        ids, component, side, text = (group.column(c).to_pylist() for c in ("id", "component", "chunk", "text"))
-        found = ((i, c, s, *shingles(x, size)) for i, c, s, x in zip(ids, component, side, text, strict=True))
-        links = bridges([(i, c, s, f, w(f, times)) for i, c, s, f, times in found], threshold) if len(set(component)) > 1 else []
+        ids, component, side, packed = (group.column(c).to_pylist() for c in ("row", "component", "chunk", "packed"))
+        links = bridges([(i, c, s, *opened(x)) for i, c, s, x in zip(ids, component, side, packed, strict=True)], threshold) if len(set(component)) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    read = first.select(F.col("a").alias("id"), F.col("x").alias("text"))
-    more = members.join(read, "id").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint")
-    more = materialize(more, "bridges")
+    more = materialize(dealt.join(read, "row").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "bridges")
     if not more.isEmpty():
         joined = components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("least").alias("b"))))
-    classes = ids.join(joined, ids["exact_id"] == joined["id"], "left").select("doc_id", F.coalesce("least", "exact_id").alias("class_id"), "exact_id")
-    null = lambda c: F.when(F.col(c) != -(2**63), F.col(c)).alias(c)
-    return classes.select(null("doc_id"), null("class_id"), null("exact_id"))
+    found = exact.join(component("node", "least"), "node", "left").withColumn("class_key", F.coalesce("least", "node"))
+    least = found.groupBy("class_key").agg(F.min("exact_id").alias("class_id"))
+    named = found.select("same", "exact_id", "class_key").join(least, "class_key")
+    return signed.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "exact_id", "class_key")
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
