@@ -106,7 +106,7 @@ class Weights:
 class Sampler:
     """Improved consistent weighted sampling. The random numbers of a shingle are rows of three tables, chosen by different bits of its hash: two shingles hardly ever share all three."""
 
-    ROWS = 1 << 14
+    ROWS, STEP = 1 << 11, 1 << 10
 
     def __init__(self, samples: int, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -116,23 +116,25 @@ class Sampler:
 
     def __call__(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For each sample a hash of the shingle with the least value and of its level."""
-        best, out = None, None
-        for s in range(0, len(found), 2048):
-            f = found[s : s + 2048]
-            i, j, k = ((f >> np.uint64(shift)).astype(np.int64) & (self.ROWS - 1) for shift in (50, 36, 22))
-            b = self.b[j]
-            level = np.floor(np.log(weights[s : s + 2048])[:, None] * self.inverse[i] + b)
-            value = self.c[k] - self.r[i] * (level + 1 - b)
-            least = value.argmin(axis=0)
-            at = np.arange(value.shape[1])
+        best, out, n = None, None, self.r.shape[1]
+        logs = np.log(weights)[:, None]
+        for s in range(0, len(found), self.STEP):
+            f = found[s : s + self.STEP]
+            i, j, k = ((f >> np.uint64(shift)).astype(np.int64) & (self.ROWS - 1) for shift in (53, 42, 31))
+            b = self.b.take(j, 0)
+            level = np.floor(logs[s : s + self.STEP] * self.inverse.take(i, 0) + b)
+            value = self.c.take(k, 0) - self.r.take(i, 0) * (level - (b - 1))
+            least_value = value.min(axis=0)
+            at = np.flatnonzero(value == least_value)[::-1]  # of equal values the first shingle's stays
+            least = np.empty(n, np.int64)
+            least[at % n] = at // n
             with np.errstate(over="ignore"):
-                h = mixed(f[least] + level[least, at].astype(np.int64).view(np.uint64) * M2)
-            v = value[least, at]
+                h = mixed(f[least] + level[least, np.arange(n)].astype(np.int64).view(np.uint64) * M2)
             if best is None:
-                best, out = v, h
+                best, out = least_value, h
             else:
-                out = np.where(v < best, h, out)
-                best = np.minimum(v, best)
+                out = np.where(least_value < best, h, out)
+                best = np.minimum(least_value, best)
         return out
 
 
@@ -146,6 +148,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - least))
 
 
+def sorted_join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A sort-merge join: both sides grow with the input, so neither is sent whole to the tasks; skewed keys are split by AQE."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and least id of its component, for links (a, b) of integers, by large-star and small-star steps until nothing changes."""
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
@@ -153,10 +160,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = sorted_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        links = materialize(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        links = materialize(sorted_join(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         now = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
             return links.select(F.col("a").alias("id"), F.col("b").alias("least"))
@@ -252,12 +259,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(keys)], names=["node", "k"])
 
     nodes = exact.select(F.col("node").alias("row"))
-    banded = materialize(signed.select("row", "keys").join(nodes, "row", "left_semi").mapInArrow(buckets, "node bigint, k bigint"), "bands")
+    banded = materialize(sorted_join(signed.select("row", "keys"), nodes, "row", "left_semi").mapInArrow(buckets, "node bigint, k bigint"), "bands")
     centres = banded.groupBy("k").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(banded.join(centres, "k").select("k", "node", "b", "n"), "members")
+    members = materialize(sorted_join(banded, centres, "k").select("k", "node", "b", "n"), "members")
     pairs = members.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     shared = members.select(F.col("node").alias("row")).distinct()
-    read = materialize(signed.select("row", "packed").join(shared, "row", "left_semi"), "candidates")
+    read = materialize(sorted_join(signed.select("row", "packed"), shared, "row", "left_semi"), "candidates")
 
     def opened(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
         found, times = shingles(zstandard.ZstdDecompressor().decompress(packed).decode(), size)
@@ -279,17 +286,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     first, second = read.select(F.col("row").alias("a"), F.col("packed").alias("x")), read.select(F.col("row").alias("b"), F.col("packed").alias("y"))
-    near = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
+    near = sorted_join(sorted_join(pairs, first, "a"), second, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
     joined = components(near)
 
     # all else that buckets hold: members that no verified link connects with the least one are compared with all others
     component = lambda c, name: joined.select(F.col("id").alias(c), F.col("least").alias(name))
-    placed = members.filter("n > 2").select("k", "node", "b").join(component("node", "own"), "node", "left").join(component("b", "top"), "b", "left")
+    placed = sorted_join(sorted_join(members.filter("n > 2").select("k", "node", "b"), component("node", "own"), "node", "left"), component("b", "top"), "b", "left")
     placed = placed.select("k", "node", F.coalesce("own", "node").alias("component"), F.coalesce("top", "b").alias("main")).withColumn("rest", F.col("component") != F.col("main"))
     sizes = placed.groupBy("k").agg(F.sum(F.col("rest").cast("long")).alias("r"), F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d"))
     chunks = lambda of: F.ceil(of / CHUNK)
     sizes = sizes.filter("c <> d").select("k", chunks(F.col("r")).alias("rests"), chunks(F.col("n") - F.col("r")).alias("mains"))
-    dealt = placed.join(sizes, "k").withColumn("chunk", F.when(F.col("rest"), F.pmod(F.xxhash64("node", "k"), "rests")).otherwise(-1 - F.pmod(F.xxhash64("node", "k"), "mains")))
+    dealt = sorted_join(placed, sizes, "k").withColumn("chunk", F.when(F.col("rest"), F.pmod(F.xxhash64("node", "k"), "rests")).otherwise(-1 - F.pmod(F.xxhash64("node", "k"), "mains")))
     upto = lambda of: F.transform(F.sequence(F.lit(1).cast("long"), of), lambda x: x - 1)
     others = F.when(F.col("rest"), F.concat(upto(F.col("rests")), F.transform(upto(F.col("mains")), lambda x: -1 - x))).otherwise(upto(F.col("rests")))
     dealt = dealt.select("k", "node", "component", "chunk", F.explode(others).alias("other"))
@@ -300,13 +307,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
         links = bridges([(i, c, s, *opened(x)) for i, c, s, x in zip(ids, component, side, packed, strict=True)], threshold) if len(set(component)) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    more = materialize(dealt.join(read, "row").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "bridges")
+    more = materialize(sorted_join(dealt, read, "row").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "bridges")
     if not more.isEmpty():
         joined = components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("least").alias("b"))))
-    found = exact.join(component("node", "least"), "node", "left").withColumn("class_key", F.coalesce("least", "node"))
+    found = sorted_join(exact, component("node", "least"), "node", "left").withColumn("class_key", F.coalesce("least", "node"))
     least = found.groupBy("class_key").agg(F.min("exact_id").alias("class_id"))
-    named = found.select("same", "exact_id", "class_key").join(least, "class_key")
-    return signed.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "exact_id", "class_key")
+    named = sorted_join(found.select("same", "exact_id", "class_key"), least, "class_key")
+    return sorted_join(signed.select("doc_id", "same"), named, "same").select("doc_id", "class_id", "exact_id", "class_key")
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -66,3 +66,15 @@ def test_op8_copies(spark):
     rows = [(i, *r) for i, r in enumerate(marked + plain)]
     got = html_text.extract(spark.createDataFrame([r[:3] for r in rows], "id int, url string, html string")).collect()
     assert {r["id"]: r["text"] for r in got} == {r[0]: r[3] for r in rows}
+
+
+def test_op4_ids_are_not_texts(spark):
+    """Rows that repeat an id, or have none, are in the classes of their own texts."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (9, a + " end"), (10, b + " end"), (None, a), (None, b), (None, c), (None, c + " end")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r["class_key"], []).append((r["doc_id"], r["class_id"]))
+    order = lambda x: sorted(x, key=str)
+    assert order(map(order, classes.values())) == order([order([(5, 5), (9, 5), (None, 5)]), order([(5, 5), (10, 5), (None, 5)]), [(None, None)] * 2])
