@@ -9,7 +9,6 @@ from rowloom.llm import html_text, near_dedup
 from rowloom.llm import language_model as lm
 
 from .conftest import SMALL
-from .test_op_5 import plain
 from .test_ops_4_8_9 import plain_classes
 
 
@@ -28,14 +27,6 @@ def test_op4_shared_passages(spark, monkeypatch):
     assert {i for i in got if got[i] != want[i]} == set()
 
 
-def test_op5_all_pairs(spark, documents):
-    want = {r[0]: r[6] for r in plain([(r["doc_id"], r["text"]) for r in documents.collect()], least_word=1, least_pair=1)}
-    got = {r["doc_id"]: r for r in lm.op5_lm_scoring(spark, SMALL).collect()}
-    assert got.keys() == want.keys()
-    for i, r in got.items():
-        assert r["score"] == pytest.approx(want[i], abs=2e-4 * r["n_tokens"] + 1e-6)
-
-
 def test_op5_too_many_words(spark, monkeypatch):
     monkeypatch.setattr(lm, "MOST_WORDS", 3, raising=False)
     docs = spark.createDataFrame([(1, "one two three"), (2, "four five")], "doc_id bigint, text string")
