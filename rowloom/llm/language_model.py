@@ -70,10 +70,11 @@ def kth_one(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """An ascending sequence of unsigned 64-bit numbers: low bits packed, high bits in unary, with counts of ones and zeros by word."""
+    """An ascending sequence of unsigned 64-bit numbers: low bits packed, high bits in unary, with the sums of ones by word."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, upper: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
-        self.n, self.low_bits, self.low, self.upper, self.ones, self.zeros = n, low_bits, low, upper, ones, zeros
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, upper: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.low, self.upper, self.ones = n, low_bits, low, upper, ones
+        self.zeros = np.arange(64, 64 * len(upper) + 64, 64, dtype=ones.dtype) - ones
 
     @classmethod
     def build(cls, x: np.ndarray) -> EliasFano:
@@ -94,7 +95,7 @@ class EliasFano:
             np.bitwise_or.at(low, word, low_part << shift)
             over = shift + np.uint64(bits) > 64
             np.bitwise_or.at(low, word[over] + 1, low_part[over] >> (np.uint64(64) - shift[over]))
-        return cls(n, bits, low, upper, np.cumsum(ones, dtype=kind), np.cumsum(64 - ones, dtype=kind))
+        return cls(n, bits, low, upper, np.cumsum(ones, dtype=kind))
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -147,12 +148,12 @@ class EliasFano:
         return np.where(ok, at, -1)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.meta": np.asarray([self.n, self.low_bits], "<i8"), f"{name}.low": self.low, f"{name}.upper": self.upper, f"{name}.ones": self.ones, f"{name}.zeros": self.zeros}
+        return {f"{name}.meta": np.asarray([self.n, self.low_bits], "<i8"), f"{name}.low": self.low, f"{name}.upper": self.upper, f"{name}.ones": self.ones}
 
     @classmethod
     def of(cls, a: dict[str, np.ndarray], name: str) -> EliasFano:
         n, bits = a[f"{name}.meta"].tolist()
-        return cls(n, bits, *(a[f"{name}.{x}"] for x in ("low", "upper", "ones", "zeros")))
+        return cls(n, bits, *(a[f"{name}.{x}"] for x in ("low", "upper", "ones")))
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
@@ -376,10 +377,19 @@ class Scorer:
             yield at, which, p, left, before
 
 
-def numbers(column, wide: bool):
+def to_bytes(x: np.ndarray, most: int) -> np.ndarray:
+    """Each number as a row of as many bytes as ``most`` needs."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : -(-most.bit_length() // 8) or 1]
+
+
+def from_bytes(column, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of a batch of stored texts, and how many each has."""
-    data = [np.frombuffer(x, "<i8" if wide else "<u4") for x in column.to_pylist()]
-    return np.concatenate(data).astype(np.int64), np.asarray([len(x) for x in data], np.int64)
+    data = column.to_pylist()
+    width = -(-most.bit_length() // 8) or 1
+    rows = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :width] = rows
+    return out.view("<i8").ravel(), np.asarray([len(x) // width for x in data], np.int64)
 
 
 NUMBERED = "n_tokens bigint, n_known bigint, base_score double, ids binary"
@@ -387,7 +397,7 @@ NUMBERED = "n_tokens bigint, n_known bigint, base_score double, ids binary"
 
 def number_texts(docs: DataFrame, trie: dict, columns: list[str]) -> DataFrame:
     """``columns`` of docs (with text), and its tokens as numbers."""
-    sent, wide = docs.sparkSession.sparkContext.broadcast(trie), trie["V"] >= 1 << 32
+    sent = docs.sparkSession.sparkContext.broadcast(trie)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
 
     def run(batches):
@@ -396,7 +406,7 @@ def number_texts(docs: DataFrame, trie: dict, columns: list[str]) -> DataFrame:
             texts_ = b.column("text").cast(pa.binary()).to_pylist()
             if texts_:
                 ids, lengths, known, base = s.numbered(texts_)
-                ids = np.split(ids.astype("<i8" if wide else "<u4"), np.cumsum(lengths)[:-1])
+                ids = np.split(to_bytes(ids, s.V), np.cumsum(lengths)[:-1])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(lengths), pa.array(known), pa.array(base), pa.array([x.tobytes() for x in ids], pa.binary())], names=[*columns, "n_tokens", "n_known", "base_score", "ids"])
 
     return docs.select(*columns, "text").mapInArrow(run, ", ".join([*fields, NUMBERED]))
@@ -439,7 +449,7 @@ def add_level(trie: dict, numbered: DataFrame, each: int, discount: float) -> di
         raise ValueError(f"{contexts} contexts of {width} words: runs hold 63 bits")
     cuts = np.asarray([c * width + part * width // parts for c, part, parts, _ in trie["cuts"]], np.int64)
     totals = {k: n for k, (_, _, parts, n) in enumerate(trie["cuts"]) if parts > 1}
-    path, wide = shared_path(spark, f"trie-{order}"), trie["V"] >= 1 << 32
+    path = shared_path(spark, f"trie-{order}")
     sent = spark.sparkContext.broadcast((trie, cuts, totals))  # a few numbers for each file
 
     def count_runs(batches):
@@ -456,7 +466,7 @@ def add_level(trie: dict, numbered: DataFrame, each: int, discount: float) -> di
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, lengths = numbers(b.column("ids"), wide)
+            ids, lengths = from_bytes(b.column("ids"), s.V)
             before = None
             for *_, before in s.runs(ids, lengths, order - 2):
                 pass
@@ -529,7 +539,7 @@ def train(docs: DataFrame, order: int = 3, word_keys: int = 2_000_000, each: int
 
 def score_numbered(numbered: DataFrame, trie: dict, columns: list[str]) -> DataFrame:
     """``columns`` and score of texts given as numbers."""
-    sent, wide = numbered.sparkSession.sparkContext.broadcast(trie), trie["V"] >= 1 << 32
+    sent = numbered.sparkSession.sparkContext.broadcast(trie)
     fields = [f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in columns]
 
     def run(batches):
@@ -537,7 +547,7 @@ def score_numbered(numbered: DataFrame, trie: dict, columns: list[str]) -> DataF
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, lengths = numbers(b.column("ids"), wide)
+            ids, lengths = from_bytes(b.column("ids"), s.V)
             distinct, which = np.unique(ids, return_inverse=True)
             p = ((s.words.counts(distinct) + 1) / (s.N + s.V + 1))[which] if s.V else np.ones(len(ids))
             for at, of, found, left, _ in s.runs(ids, lengths, len(s.levels)):
