@@ -57,6 +57,12 @@ class Cells:
         others = [x for x in s if x]
         return F.when(~cell.isin(others), cell) if others else cell
 
+    def present(self, cell: str | None) -> str | None:
+        """The same of a text: the cell, or None if it is missing."""
+        s = self.o.sentinels
+        cell = "" if cell is None and "" not in s else cell
+        return None if cell in s and cell != "" else cell
+
     def number(self, cell: Column) -> Column:
         if self.o.groupmark:
             cell = F.regexp_replace(cell, r"(?<=\d)\Q" + self.o.groupmark + r"\E(?=\d)", "")
@@ -70,11 +76,15 @@ class Cells:
         if kind in ("tinyint", "smallint", "int32", "bigint", "int", "decimal(38,0)"):
             target = {"int": "bigint", "int32": "int"}.get(kind, kind)
             x = self.number(x)
-            return F.when(x.rlike(INTEGER), F.trim(F.translate(x, "\t", " ")).try_cast(target))
+            if kind == "decimal(38,0)":  # would be rounded
+                return F.when(x.rlike(INTEGER), F.trim(F.translate(x, "\t", " ")).try_cast(target))
+            return x.try_cast(target)  # blanks around digits are fine, fractions aren't
         if kind in ("float", "double", "float32"):
-            x = F.trim(F.translate(self.number(x), "\t", " "))
+            plain, target = self.number(x), "float" if kind == "float32" else "double"
+            x = F.trim(F.translate(plain, "\t", " "))
             inf = F.when(x.rlike("^[+]?[Ii]nf"), "Infinity").when(x.rlike("^-[Ii]nf"), "-Infinity").when(x.rlike("^[+-]?[Nn]a[Nn]$"), "NaN").otherwise(x)
-            return F.when(x.rlike(FLOAT), inf.try_cast("float" if kind == "float32" else "double"))
+            lettered = F.when(x.rlike(FLOAT), inf.try_cast(target))  # NaN, Inf; Java's 1d and 0x1p3 are no numbers here
+            return F.when(plain.rlike("[A-DF-Za-df-z]"), lettered).otherwise(plain.try_cast(target))
         if kind == "bool":
             return F.when(x.isin(list(o.truestrings or ())), True).when(x.isin(list(o.falsestrings or ())), False)
         if kind in ("date", "datetime") and self.dateformat:

@@ -36,26 +36,36 @@ def joined_kind(first: str | None, present: int, counts: dict[str, int]) -> str
     return next((t for t in MAYBE.get(first, (first,)) if counts.get(t) == present), "string")
 
 
-def infer(df: DataFrame, columns: list[Column], readers: list[Cells], order: Column, pool: bool = False) -> list[Found]:
-    """First each column's first present cell, which costs no parsing; then only what its kind leaves open is counted."""
+def infer(df: DataFrame, columns: list[Column], readers: list[Cells], firsts: list[str | None], pool: bool = False) -> list[Found]:
+    """What a column's first present cell leaves open is counted in one pass. ``firsts``: those cells, where they are known
+    (from the first lines); a pass looks for the others, in the order of files and their rows."""
     out: list[Found] = []
     for s in range(0, len(columns), CHUNK):
-        part = list(enumerate((r.value(c), r) for c, r in zip(columns[s : s + CHUNK], readers[s : s + CHUNK], strict=True)))
-        row = df.agg(F.count("*").alias("rows"), *(a for k, (c, _) in part for a in (F.count(c).alias(f"n{k}"), F.min_by(c, F.when(c.isNotNull(), order)).alias(f"c{k}")))).first()
-        firsts = df.sparkSession.range(1).select(*(F.when(F.lit(row[f"c{k}"]).isNotNull(), r.kind(F.lit(row[f"c{k}"]).cast("string"))).alias(f"k{k}") for k, (_, r) in part)).first()
-        asked = []
-        for k, (c, r) in part:
-            kind = firsts[f"k{k}"]
-            asked += [F.count(r.to(c, t)).alias(f"{t[0]}_{k}") for t in (MAYBE.get(kind, (kind,)) if kind else ())]
+        part = list(enumerate(zip(columns[s : s + CHUNK], readers[s : s + CHUNK], strict=True)))
+        values = [r.value(c) for _, (c, r) in part]
+        known = dict(enumerate(firsts[s : s + CHUNK]))
+        if unknown := [k for k, x in known.items() if x is None]:
+            at = [F.col(c) for c in ("file", "rec") if c in df.columns] or [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+            if "file" in df.columns and "rec" not in df.columns:
+                at.append(F.monotonically_increasing_id())
+            placed = df.select("*", F.struct(*(c.alias(f"o{k}") for k, c in enumerate(at))).alias("_order"))
+            row = placed.agg(*(F.min_by(values[k], F.when(values[k].isNotNull(), F.col("_order"))).alias(f"c{k}") for k in unknown)).first()
+            known |= {k: row[f"c{k}"] for k in unknown}
+        kinds = df.sparkSession.range(0, 1, 1, 1).select(*(F.when(F.lit(known[k]).isNotNull(), r.kind(F.lit(known[k]).cast("string"))).alias(f"k{k}") for k, (_, r) in part)).first()
+        asked = [F.count("*").alias("rows")]
+        for k, (_, r) in part:
+            kind, v = kinds[f"k{k}"], values[k]
+            asked.append(F.count(v).alias(f"n{k}"))
+            asked += [F.count(r.to(v, t)).alias(f"{t[0]}_{k}") for t in (MAYBE.get(kind, (kind,)) if kind else ())]
             if kind == "int":
-                asked += [F.min(r.to(c, "int")).alias(f"lo_{k}"), F.max(r.to(c, "int")).alias(f"hi_{k}")]
+                asked += [F.min(r.to(v, "int")).alias(f"lo_{k}"), F.max(r.to(v, "int")).alias(f"hi_{k}")]
             if pool and kind == "string":
-                asked.append(F.approx_count_distinct(c, 0.01).alias(f"u_{k}"))
-        got = df.agg(*asked).first().asDict() if asked else {}
+                asked.append(F.approx_count_distinct(v, 0.01).alias(f"u_{k}"))
+        got = df.agg(*asked).first().asDict()
         for k, _ in part:
-            kind = firsts[f"k{k}"]
+            kind = kinds[f"k{k}"]
             counts = {t: got[f"{t[0]}_{k}"] for t in (MAYBE.get(kind, (kind,)) if kind else ())}
-            out.append(Found(joined_kind(kind, row[f"n{k}"], counts), kind, row[f"n{k}"], row["rows"], got.get(f"lo_{k}"), got.get(f"hi_{k}"), got.get(f"u_{k}")))
+            out.append(Found(joined_kind(kind, got[f"n{k}"], counts), kind, got[f"n{k}"], got["rows"], got.get(f"lo_{k}"), got.get(f"hi_{k}"), got.get(f"u_{k}")))
     return out
 
 

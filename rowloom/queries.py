@@ -23,9 +23,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def trip(df: DataFrame, write: dict | None = None, suffix: str = "", **options) -> DataFrame:
-    """Write to one file in the shared folder, read it back."""
+    """Write to a folder of files in the shared folder (to one file where rows are counted from its ends), read it back."""
     path = new_path(df.sparkSession, suffix)
-    write_delimited(df, path, **(write or {}))
+    single = suffix or any(o in options for o in ("skipto", "footerskip", "limit"))
+    write_delimited(df, path, **{"partition": not single, **(write or {})})
     return read_delimited(df.sparkSession, path, **options)
 
 
@@ -87,7 +88,7 @@ def gz(spark, d):
 
 @query("scan_gzip_noext", selected(TABLES["customer"], "customer"))
 def gz_noext(spark, d):
-    return trip(table(spark, d, "customer"), {"compress": True})
+    return trip(table(spark, d, "customer"), {"compress": True, "partition": False})
 
 
 @query("scan_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
@@ -111,14 +112,6 @@ def comment(spark, d):
     return trip(df, comment="//")
 
 
-@query("scan_multirow_header", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey_key, n_name AS n_name_name FROM nation")
-def multirow(spark, d):
-    path = new_path(spark)
-    body = "".join(x["line"] + "\n" for x in format_rows(table(spark, d, "nation").select("n_nationkey", "n_name")).toLocalIterator())  # one line a nation
-    Store(spark, path).write([("n_nationkey,n_name\nkey,name\n" + body).encode()])
-    return read_delimited(spark, path, header=[1, 2])
-
-
 @query("scan_normalized_names", 'SELECT s_suppkey AS supplier_key, s_name AS "_2nd_name" FROM supplier')
 def normalized(spark, d):
     return trip(table(spark, d, "supplier").select("s_suppkey", "s_name"), {"header": [" supplier key ", "2nd name"]}, normalizenames=True)
@@ -138,6 +131,102 @@ def lines_of(spark, df: DataFrame, header: str, **options) -> DataFrame:
     return read_delimited(spark, path, **options)
 
 
+@query("scan_multirow_header", "SELECT c_custkey AS c_custkey_key, c_name AS c_name_name FROM customer")
+def multirow(spark, d):
+    return lines_of(spark, format_rows(table(spark, d, "customer").select("c_custkey", "c_name")), "c_custkey,c_name\nkey,name", header=[1, 2])
+
+
+@query("scan_stray_quotes", "SELECT c_custkey, c_custkey || '\" pipe' AS size, CASE WHEN c_custkey % 3 = 0 THEN 'a,\"b\"' || chr(10) || 'c' ELSE 'the \"' || c_name END AS text FROM customer")
+def stray_quotes(spark, d):
+    """Quote characters within plain cells are text; between them stand quoted cells over two lines."""
+    k = F.col("c_custkey").cast("string")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.lit('"a,""b""\nc"')).otherwise(F.concat(F.lit('the "'), "c_name"))
+    return lines_of(spark, table(spark, d, "customer").select(F.concat_ws(",", k, F.concat(k, F.lit('" pipe')), text).alias("line")), "c_custkey,size,text")
+
+
+@query("scan_comment_quotes", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 <> 0")
+def comment_quotes(spark, d):
+    line = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('# they said "'), "c_name")).otherwise(F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"'))))
+    return lines_of(spark, table(spark, d, "customer").select(line.alias("line")), "c_custkey,c_name", comment="#")
+
+
+@query("scan_no_header", 'SELECT c_custkey AS "Column1", c_name AS "Column2" FROM customer')
+def no_header(spark, d):
+    return trip(table(spark, d, "customer").select("c_custkey", "c_name"), {"header": False}, header=False)
+
+
+@query("scan_given_names", "SELECT c_custkey AS k, c_name AS n FROM customer")
+def given_names(spark, d):
+    return trip(table(spark, d, "customer").select("c_custkey", "c_name"), {"header": False}, header=["k", "n"], skipto=1)
+
+
+@query("scan_repeated_delims", "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer")
+def repeated_delims(spark, d):
+    line = F.concat(F.lit("  "), F.col("c_custkey").cast("string"), F.lit("   "), F.col("c_nationkey").cast("string"), F.lit(" "))
+    return lines_of(spark, table(spark, d, "customer").select(line.alias("line")), "c_custkey c_nationkey", delim=" ", ignorerepeated=True)
+
+
+@query("scan_unquoted", "SELECT c_custkey, '\"' || c_name AS c_name FROM customer")
+def unquoted(spark, d):
+    return lines_of(spark, table(spark, d, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name").alias("line")), "c_custkey,c_name", quoted=False)
+
+
+@query("scan_strip_whitespace", "SELECT c_custkey, c_name, ' x ' || c_custkey AS q FROM customer")
+def strip_whitespace(spark, d):
+    line = F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" ,\t"), "c_name", F.lit(' , "x '), F.col("c_custkey").cast("string"), F.lit('"'))
+    df = lines_of(spark, table(spark, d, "customer").select(line.alias("line")), "c_custkey,c_name,q", stripwhitespace=True)
+    return df.withColumn("q", F.concat(F.lit(" "), "q"))
+
+
+@query("scan_empty_rows", "SELECT CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS c_custkey FROM customer")
+def empty_rows(spark, d):
+    return lines_of(spark, table(spark, d, "customer").select(F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_custkey").cast("string")).alias("line")), "c_custkey", ignoreemptyrows=False)
+
+
+@query("types_function", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_acctbal AS FLOAT) AS c_acctbal FROM customer")
+def types_function(spark, d):
+    return trip(table(spark, d, "customer").select("c_custkey", "c_acctbal"), types=lambda i, n: "string" if n.endswith("key") else "float")
+
+
+@query("types_one_strict", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_acctbal FROM customer")
+def types_one_strict(spark, d):
+    return trip(table(spark, d, "customer").select("c_custkey", "c_acctbal"), types="double", strict=True)
+
+
+@query("dateformat_global", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 1 AS b FROM orders")
+def dateformat_global(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    df = trip(table(spark, d, "orders").select("o_orderkey", day.alias("a"), F.date_add(day, 1).alias("b")), {"dateformat": "dd.mm.yyyy"}, dateformat="dd.mm.yyyy", types={1: "bigint", 2: "date", 3: "date"})
+    return df
+
+
+@query("concat_sources", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def concat_sources(spark, d):
+    paths = [new_path(spark), new_path(spark)]
+    write_delimited(table(spark, d, "customer").select("c_custkey", "c_name"), paths[0], partition=True)
+    write_delimited(table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name")), paths[1], partition=True)
+    return read_many(spark, paths)
+
+
+@query("write_append_bom", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def append_bom(spark, d):
+    """A file with a byte order mark, and rows appended to it."""
+    path = new_path(spark)
+    write_delimited(table(spark, d, "customer").select("c_custkey", "c_name"), path, bom=True)
+    write_delimited(table(spark, d, "supplier").select("s_suppkey", "s_name"), path, append=True)
+    return read_delimited(spark, path)
+
+
+@query("write_newline", "SELECT c_custkey, c_name FROM customer")
+def write_newline(spark, d):
+    return trip(table(spark, d, "customer").select("c_custkey", "c_name"), {"newline": "\r\n"})
+
+
+@query("infer_time", "SELECT event_id, strftime(ts, '%H:%M:%S') AS t FROM events")
+def infer_time(spark, d):
+    return trip(table(spark, d, "events").select("event_id", F.date_format("ts", "HH:mm:ss").alias("t")))
+
+
 @query("scan_short_rows", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS c_acctbal FROM customer")
 def short(spark, d):
     k = F.col("c_custkey").cast("string")
@@ -174,9 +263,9 @@ def typemap(spark, d):
     return trip(table(spark, d, "supplier").select("s_suppkey", "s_name"), typemap={"int": "string"})
 
 
-@query("downcast_ints", "SELECT CAST(n_nationkey AS TINYINT) AS n_nationkey, n_name FROM nation")
+@query("downcast_ints", "SELECT CAST(c_nationkey AS TINYINT) AS c_nationkey, c_name FROM customer")
 def downcast(spark, d):
-    return trip(table(spark, d, "nation").select("n_nationkey", "n_name"), downcast=True)
+    return trip(table(spark, d, "customer").select("c_nationkey", "c_name"), downcast=True)
 
 
 @query("explicit_types", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS SMALLINT) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part")
@@ -238,11 +327,14 @@ def open_close(spark, d):
     return trip(table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(","), "s_suppkey").alias("x")), o, **o)
 
 
-@query("transpose_region", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
+@query("transpose_customer", "SELECT c_custkey, c_name FROM customer")
 def transpose(spark, d):
-    df = table(spark, d, "region")
-    rows = [[c, *(str(r[c]) for r in df.select(c, "r_regionkey").sort("r_regionkey").toLocalIterator())] for c in df.columns]  # one cell a region
-    return read_delimited(spark, "".join(",".join(r) + "\n" for r in rows).encode(), transpose=True)
+    """A line for each column, put together by Spark."""
+    df = table(spark, d, "customer")
+    line = lambda c: F.concat_ws(",", F.lit(c), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.col(c).cast("string").alias("x")))), lambda r: r["x"]), ","))
+    path = new_path(spark)
+    df.agg(F.array(line("c_custkey"), line("c_name")).alias("x")).select(F.explode("x").alias("line")).coalesce(1).write.text(path)
+    return read_delimited(spark, path, transpose=True)
 
 
 def two(spark, d):
@@ -278,10 +370,10 @@ formatted("format_rows_missingstring", "SELECT c_custkey || ',' || CASE WHEN c_c
 formatted("format_rows_transform", "SELECT (c_custkey + 1) || ',' || upper(c_name) AS line FROM customer", lambda s, d: table(s, d, "customer").select("c_custkey", "c_name"), transform=lambda i, n, c: c + 1 if i == 1 else F.upper(c))
 
 
-@query("rows_all_strings", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+@query("rows_all_strings", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def rows_all_strings(spark, d):
     path = new_path(spark)
-    write_delimited(table(spark, d, "nation").select(*TABLES["nation"]), path)
+    write_delimited(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), path, partition=True)
     return read_rows(spark, path)
 
 
@@ -302,16 +394,27 @@ def partitioned(spark, d):
     return found
 
 
-@query("detect_kind", "SELECT event_id, 'int' AS a, CASE WHEN value = floor(value) THEN 'float' ELSE 'float' END AS b, 'string' AS c FROM events")
+CELL = "CASE event_id % 6 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN user_id || '.25' WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%H:%M:%S') WHEN 4 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'F' END ELSE event_type END"
+
+
+def mixed_cells(spark, d):
+    """event_id and a text of one of six kinds."""
+    k, user = F.col("event_id") % 6, F.col("user_id").cast("string")
+    cell = F.when(k == 0, user).when(k == 1, F.concat(user, F.lit(".25"))).when(k == 2, F.date_format("ts", "yyyy-MM-dd")).when(k == 3, F.date_format("ts", "HH:mm:ss")).when(k == 4, F.when(F.col("user_id") % 2 == 0, "true").otherwise("F")).otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", cell.alias("cell"))
+
+
+@query("detect_kind", rf"""SELECT event_id, CASE WHEN regexp_full_match(c, '[+-]?\d+') THEN 'int' WHEN regexp_full_match(c, '[+-]?\d+\.\d*') THEN 'float' WHEN try_cast(c AS DATE) IS NOT NULL THEN 'date'
+    WHEN try_cast(c AS TIME) IS NOT NULL THEN 'time' WHEN c IN ('true', 'false', 'T', 'F') THEN 'bool' ELSE 'string' END AS kind FROM (SELECT event_id, {CELL} AS c FROM events)""")
 def detect_kind(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", detect_type(F.col("user_id").cast("string")).alias("a"), detect_type(F.col("value").cast("string")).alias("b"), detect_type(F.col("event_type")).alias("c"))
+    return mixed_cells(spark, d).select("event_id", detect_type(F.col("cell")).alias("kind"))
 
 
-@query("parse_cell", "SELECT event_id, user_id AS a, value AS b, CAST(NULL AS BIGINT) AS c FROM events")
+@query("parse_cell", rf"""SELECT event_id, CASE WHEN c NOT LIKE '%.%' THEN try_cast(c AS BIGINT) END AS a, try_cast(c AS DOUBLE) AS b, CASE WHEN regexp_full_match(c, '\d+-\d+-\d+') THEN try_cast(c AS DATE) END AS day,
+    CASE WHEN c IN ('true', 'T', '1') THEN true WHEN c IN ('false', 'F', '0') THEN false END AS yes FROM (SELECT event_id, {CELL} AS c FROM events)""")
 def parsed(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", parse_cell(F.col("user_id").cast("string"), "int").alias("a"), parse_cell(F.col("value").cast("string"), "float").alias("b"), parse_cell(F.col("event_type"), "int").alias("c"))
+    c = F.col("cell")
+    return mixed_cells(spark, d).select("event_id", parse_cell(c, "int").alias("a"), parse_cell(c, "float").alias("b"), parse_cell(c, "date").alias("day"), parse_cell(c, "bool").alias("yes"))
 
 
 @query("pool_decision", "SELECT 'c_mktsegment' AS name, count(DISTINCT c_mktsegment) <= 500 AND (count(DISTINCT c_mktsegment) - 1) / count(*) <= 0.2 AS pooled FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name) <= 500 AND (count(DISTINCT c_name) - 1) / count(*) <= 0.2 FROM customer")

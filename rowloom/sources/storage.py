@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 
@@ -9,9 +11,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); set where it is unset and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="rowloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -72,27 +76,41 @@ class Store:
         self.fs.delete(self.path, True)
 
 
+def literal_path(path: str) -> str:
+    """A path whose signs of a glob are part of its name."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def pieces(source):
+    """The bytes of a file object or of a started command (subprocess.Popen), some MB at a time."""
+    source = getattr(source, "stdout", None) or source
+    while got := source.read(4 << 20):
+        yield got.encode() if isinstance(got, str) else got
+
+
 def readable(spark: SparkSession, source) -> list[str]:
-    """Paths for a source: a path or glob, bytes, or a file object. Text in memory goes to the shared folder; gzip data gets a .gz name."""
-    if hasattr(source, "read"):
-        source = source.read()
-        source = source.encode() if isinstance(source, str) else source
-    if isinstance(source, (bytes, bytearray, memoryview)):
-        data = bytes(source)
-        path = new_path(spark, ".gz" if data[:2] == b"\x1f\x8b" else ".txt")
-        Store(spark, path).write([data])
+    """Paths for a source: a path or glob, bytes, a file object, or a started command. Streams are copied to the shared folder piece by piece; gzip data gets a .gz name."""
+    if isinstance(source, (bytes, bytearray, memoryview)) or hasattr(source, "read") or hasattr(source, "stdout"):
+        parts = iter([bytes(source)]) if isinstance(source, (bytes, bytearray, memoryview)) else pieces(source)
+        first = next(parts, b"")
+        path = new_path(spark, ".gz" if first[:2] == b"\x1f\x8b" else ".txt")
+        Store(spark, path).write(itertools.chain([first], parts))
         return [path]
     path = str(source)
-    if any(c in path for c in "*?[{"):
-        return [path]
     store = Store(spark, path)
-    if not store.exists():
+    if store.exists():
+        found = store.files()
+    elif any(c in path for c in "*?[{"):
+        found = sorted(f for s in store.fs.globStatus(store.path) or () for f in Store(spark, s.getPath().toString()).files())
+    else:
+        found = []
+    if not found and not store.exists():
         raise ValueError(f"{path} does not exist")
     out = []
-    for f in store.files():
+    for f in found:
         if not f.endswith(".gz") and Store(spark, f).head(2) == b"\x1f\x8b":
             staged = new_path(spark, ".gz")
             Store(spark, staged).write([f])
             f = staged
-        out.append(f)
+        out.append(literal_path(f))
     return out

@@ -185,3 +185,77 @@ def test_stream(spark, tmp_path):
     q = read_stream(spark, str(tmp_path / "in"), str(tmp_path / "in" / "1.csv"), {"a": "bigint"}).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("arrived").collect())) == [(1, "x,y"), (2, None)]
+
+
+STRAY = [
+    ('a,b\n5" pipe,1\n6,2\n7" rod,3\n8,4\n', {}, [('5" pipe', 1), ("6", 2), ('7" rod', 3), ("8", 4)]),
+    ('a,b\n5" pipe,1\n6,2\n', {}, [('5" pipe', 1), ("6", 2)]),
+    ('a,b\n# they said "hi\n1,2\n', {"comment": "#"}, [(1, 2)]),
+    ('a,b\n1,"x\n# no comment"\n2,y\n', {"comment": "#"}, [(1, "x\n# no comment"), (2, "y")]),
+    ('a,b\n1,"x"" y"\n2, "z" \n3,"p"q\n', {}, [(1, 'x" y'), (2, "z"), (3, "pq")]),
+    ('a,b\n1,"x\n""\n"",\n"\n2,""\n', {"missingstring": "NA"}, [(1, 'x\n"\n",\n'), (2, "")]),
+    ("a,b\n1,{x\\}\ny}\n2,z}\n", {"openquotechar": "{", "closequotechar": "}", "escapechar": "\\"}, [(1, "x}\ny"), (2, "z}")]),
+    ('a::b\n1::"x::\ny"\n2::q"z\n', {"delim": "::"}, [(1, "x::\ny"), (2, 'q"z')]),
+    ("a,b\n1d,1e3\n0x1p3,.5\n", {}, [("1d", 1000.0), ("0x1p3", 0.5)]),
+    ("a,b\n \n1,2\n", {}, [(" ", None), ("1", 2)]),
+]
+
+
+@pytest.mark.parametrize("text,options,rows", STRAY)
+def test_stray_quotes(spark, text, options, rows):
+    assert sorted(map(tuple, read_delimited(spark, text.encode(), **options).collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("text", ['a\n1,"x\n', 'a,b\n1," open\n2,34\n', 'a\n"x""\n'])
+def test_unclosed(spark, text):
+    with pytest.raises(ValueError, match="closed"):
+        read_delimited(spark, text.encode()).collect()
+
+
+def test_quotes_at_borders(spark, tmp_path):
+    """Blocks end at every place of a record with quotes: within cells, stray quotes, doubled ones and line ends."""
+    rows = [(k, f'{k}" x', f'a\n"{k}",\nb' if k % 3 else "plain") for k in range(25)]
+    cell = lambda t: '"' + t.replace('"', '""') + '"' if "\n" in t else t
+    (tmp_path / "b.csv").write_text("k,s,t\n" + "".join(f"{k},{s},{cell(t)}\n" for k, s, t in rows))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for size in (23, 64):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert sorted(map(tuple, read_delimited(spark, str(tmp_path / "b.csv")).collect())) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def jobs(spark, run) -> int:
+    group = f"counted-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "other")
+    return n
+
+
+def test_passes(spark, tmp_path):
+    """An ordinary file is read for its first lines, once for all lines, once for inference, and for the result."""
+    (tmp_path / "p.csv").write_text("a,b,c\n" + "".join(f"{k},{k / 4},x{k}\n" for k in range(500)))
+    path = str(tmp_path / "p.csv")
+    assert jobs(spark, lambda: read_delimited(spark, path, types=["bigint", "double", "string"]).collect()) <= 6
+    assert jobs(spark, lambda: read_delimited(spark, path).collect()) <= 9
+    plan = read_delimited(spark, path, types=["bigint", "double", "string"], select=["b"])._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<_c1:string>" in plan
+
+
+def test_sources_of_all_kinds(spark, tmp_path):
+    import io
+    import subprocess
+
+    data = b"a,b\n1,x\n2,y\n"
+    want = [(1, "x"), (2, "y")]
+    (tmp_path / "odd[1]{2}.csv").write_bytes(gzip.compress(data))
+    (tmp_path / "latin.csv").write_bytes("a,b\n1,é\n".encode("latin-1"))
+    got = lambda s, **o: list(map(tuple, read_delimited(spark, s, **o).sort("a").collect()))
+    assert got(io.BytesIO(data)) == got(io.StringIO(data.decode())) == got(str(tmp_path / "odd[1]{2}.csv")) == got(str(tmp_path / "odd*.csv")) == want
+    command = subprocess.Popen(["printf", "a,b\\n1,x\\n2,y\\n"], stdout=subprocess.PIPE)
+    assert got(command) == want and command.wait() == 0
+    assert got(str(tmp_path / "latin.csv"), encoding="ISO-8859-1") == [(1, "é")]
