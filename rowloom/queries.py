@@ -123,11 +123,11 @@ def duplicates(spark, d):
     return trip(table(spark, d, "supplier").select(s, (s + 1).alias("x"), (s + 2).alias("y")), {"header": ["a", "a", "a_1"]})
 
 
-def lines_of(spark, df: DataFrame, header: str, **options) -> DataFrame:
+def lines_of(spark, df: DataFrame, first: str, **options) -> DataFrame:
     """Reads rows of ready-made text."""
     parts, path = new_path(spark), new_path(spark)
     df.select("line").write.text(parts)
-    Store(spark, path).write([(header + "\n").encode(), *Store(spark, parts).files()])
+    Store(spark, path).write([(first + "\n").encode(), *Store(spark, parts).files()])
     return read_delimited(spark, path, **options)
 
 
@@ -327,16 +327,18 @@ def open_close(spark, d):
     return trip(table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(","), "s_suppkey").alias("x")), o, **o)
 
 
-@query("transpose_customer", "SELECT c_custkey, c_name FROM customer")
-def transpose(spark, d):
-    """A line for each column, put together by Spark."""
-    df = table(spark, d, "customer")
-    line = lambda c: F.concat_ws(",", F.lit(c), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.col(c).cast("string").alias("x")))), lambda r: r["x"]), ","))
+def transposed(spark, df: DataFrame, key: str, name: str) -> DataFrame:
+    """A line for each column, put together by Spark, read as columns."""
+    line = lambda c: F.concat_ws(",", F.lit(c), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, F.col(c).cast("string").alias("x")))), lambda r: r["x"]), ","))
     path = new_path(spark)
-    df.agg(F.array(line("c_custkey"), line("c_name")).alias("x")).select(F.explode("x").alias("line")).coalesce(1).write.text(path)
+    df.agg(F.array(line(key), line(name)).alias("x")).select(F.explode("x").alias("line")).coalesce(1).write.text(path)
     return read_delimited(spark, path, transpose=True)
 
 
+query("transpose_customer", "SELECT c_custkey, c_name FROM customer")(lambda spark, d: transposed(spark, table(spark, d, "customer"), "c_custkey", "c_name"))
+query("transpose_region", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")(lambda spark, d: transposed(spark, table(spark, d, "region"), "r_regionkey", "r_name"))
+
+
 def two(spark, d):
     s = table(spark, d, "supplier")
     paths = [new_path(spark), new_path(spark)]
