@@ -1,10 +1,12 @@
 """Main text of web pages by removing site templates.
 
 Each page is parsed to a tree and every element's subtree is hashed. Spark counts the different bodies (marked article,
-or else page) with each hash for each host, so that copies of a page count once; subtrees that recur on many of a host's pages are its template and are deleted
-when the pages are read again. A share of the pages can hold only so many subtrees, so a host's list is bounded by its
-mean page. Elements that are never main text (menus, forms, scripts and such, by tag, role or class) go as well, and
-where a page marks its article, only that is kept, with whatever recurs in it.
+or else page) with each hash for each host, so that copies of a page count once; subtrees that recur on many of a host's
+pages are its template and are deleted when the pages are read again. A share of the pages can hold only so many
+subtrees, so a host's list is bounded by its mean page. Scripts, forms, menus and such go by their tags and roles, and
+elements whose whole class or id says so (``ad``, ``comments``); all else is left to the counts. Where a page marks its
+article and that holds its text, only the article is kept; in it, paragraphs, headings and inline elements stay however
+often they recur, and other blocks go only if they recur in most of the host's different articles.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, shuffle_partitions, table, tune
+from .common import materialize, table, tune
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -31,7 +33,12 @@ CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figur
 RUNS = frozenset("p h1 h2 h3 h4 h5 h6 li dd td pre blockquote".split())
 NEVER = frozenset("head script style noscript template iframe nav footer aside form button select textarea input svg canvas object embed menu dialog title xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-CLASSES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus replies share sharing social related recommended widget pagination pager".split())
+#: Whole classes and ids of elements that aren't main text.
+CLASSES = frozenset("ad ads advert advertisement banner cookies newsletter sidebar menu navbar breadcrumbs footer comments disqus".split())
+#: Parts of classes and ids that are believed only outside of articles, and only where a host has too few pages to count.
+GUESSES = CLASSES | frozenset("ads advertising sponsor sponsored promo cookie consent gdpr notice popup modal subscribe nav navigation breadcrumb masthead comment share sharing social related recommended widget pagination".split())
+#: Blocks in an article that stay however often they recur.
+STAY = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre caption figcaption legend summary".split())
 
 
 #: Stands for a whole page among the numbers of subtrees.
@@ -115,7 +122,7 @@ def host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def dropped(node: Node, in_article: bool) -> bool:
+def dropped(node: Node, in_article: bool, guess: bool = False) -> bool:
     if node.tag in NEVER or node.tag == "header" and not in_article:
         return True
     if not node.attributes:
@@ -123,11 +130,13 @@ def dropped(node: Node, in_article: bool) -> bool:
     got = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(node.attributes)}
     if node.tag in ("html", "body", "article", "main"):
         return False
-    marks = set(re.split(r"[\s_-]+", f"{got.get('class', '')} {got.get('id', '')}"))
+    marks = {*got.get("class", "").split(), got.get("id", "")}
+    if guess and not in_article and set(re.split(r"[\s_-]+", " ".join(marks))) & GUESSES:
+        return True
     return bool(marks & CLASSES) or got.get("role") in ROLES
 
 
-def articles(root: Node) -> list[Node]:
+def articles(root: Node, guess: bool = False) -> list[Node]:
     """The outermost article elements, or else main ones, that aren't within dropped ones."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     stack = [root]
@@ -137,7 +146,7 @@ def articles(root: Node) -> list[Node]:
             found[n.tag].append(n)
             if n.tag == "article":
                 continue
-        stack += [c for c in reversed(n.children) if isinstance(c, Node) and not dropped(c, False)]
+        stack += [c for c in reversed(n.children) if isinstance(c, Node) and not dropped(c, False, guess)]
     return found["article"] or found["main"] or [root]
 
 
@@ -146,21 +155,24 @@ def body(root: Node) -> int:
     return number(xxhash.xxh3_64_digest(b"".join(a.digest for a in articles(root))))
 
 
-def main_text(root: Node, template: frozenset[int]) -> str:
+def text_of(parts: list[Node], inside: bool, gone: frozenset[int], guess: bool = False) -> str:
+    """The text of some subtrees, a line for each block, without subtrees in ``gone``; ``inside``: of a marked article."""
     blocks: list[list[str]] = [[]]
-    for article in articles(root):
-        inside = article is not root
-        gone = frozenset() if inside else template
+    for part in parts:
         blocks.append([])
-        stack: list = [iter(article.children)]
-        tags = [article.tag]
+        stack: list = [iter(part.children)]
+        tags = [part.tag]
         while stack:
             for c in stack[-1]:
                 if not isinstance(c, Node):
                     blocks[-1].append(c)
                 elif c.tag == "br":
                     blocks[-1].append(" ")
-                elif not dropped(c, inside) and (number(c.digest) not in gone or tags[-1] in RUNS and c.tag not in BLOCK):
+                elif dropped(c, inside, guess):
+                    continue
+                elif number(c.digest) in gone and (c.tag in BLOCK and c.tag not in STAY if inside else not (tags[-1] in RUNS and c.tag not in BLOCK)):
+                    continue
+                else:
                     if c.tag in BLOCK:
                         blocks.append([])
                     stack.append(iter(c.children))
@@ -173,12 +185,27 @@ def main_text(root: Node, template: frozenset[int]) -> str:
     return "\n".join(x for b in blocks if (x := " ".join(html.unescape("".join(b)).split())))
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text", share: float = 0.1, least_pages: int = 5) -> DataFrame:
-    """Adds the main text (empty if none) to every page; other columns stay, but for an older one of its name.
+def main_text(root: Node, template: frozenset[int], often: frozenset[int] = frozenset(), guess: bool = False) -> str:
+    """The marked article's text, unless it is a small part of what the page has: one article below a tenth, several (cards) below half."""
+    parts = articles(root, guess)
+    if parts == [root]:
+        return text_of(parts, False, template, guess)
+    inside = text_of(parts, True, often)
+    whole = text_of([root], False, template, guess)
+    return inside if len(inside) * (10 if len(parts) == 1 else 2) >= len(whole) else whole
+
+
+#: Bytes of pages that one task reads, about; hosts with more are dealt to several.
+TASK_BYTES = 32 << 20
+
+
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text", share: float = 0.1, article_share: float = 0.5, least_pages: int = 5) -> DataFrame:
+    """Adds the main text (empty if none) to every page; other columns stay, whatever their names, but for an older one of its name.
 
     A subtree on more than ``share`` of a host's different pages, ``least_pages`` at least, is template, but for inline
-    parts of a paragraph or its like and all within a marked article. Null or empty html gives an empty text, null or
-    odd urls share one empty host, copies count as one page. An empty table gives no rows.
+    parts of a paragraph or its like; in a marked article, ``article_share`` is needed, and paragraphs and headings stay.
+    Null or empty html gives an empty text, null or odd urls share one empty host, copies count as one page, repeated
+    rows each get a row. Very long pages are read whole. An empty table gives no rows.
     """
     tune(pages.sparkSession)
     kept = [c for c in pages.columns if c != out]
@@ -199,25 +226,38 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
     found = pages.select(host(url_col), html_col).mapInArrow(subtrees, "host string, digest bigint, body bigint").distinct()
     counts = materialize(found.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages), "subtrees")
     different = counts.filter(F.col("digest") == WHOLE).select("host", F.col("n").alias("different"))
-    hosts = pages.select(host(url_col).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
     recurring = counts.filter(F.col("digest") != WHOLE).join(different, "host").filter(F.col("n") > share * F.col("different"))
-    lists = recurring.groupBy("host").agg(F.collect_list("digest").alias("_template"))
+    lists = different.select("host").join(recurring, "host", "left").groupBy("host").agg(F.collect_list("digest").alias("template"), F.collect_list(F.when(F.col("n") > article_share * F.col("different"), F.col("digest"))).alias("often"))  # hosts of too few pages have none
+
+    sizes = pages.select(host(url_col).alias("host"), F.coalesce(F.length(html_col), F.lit(0)).cast("long").alias("size"))
+    sizes = materialize(sizes.groupBy("host").agg((F.sum("size") + 200 * F.count("*")).alias("size")), "hosts")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    hot = F.broadcast(sizes.filter(F.col("size") > TASK_BYTES).select("host", F.ceil(F.col("size") / TASK_BYTES).alias("parts")))  # a row for TASK_BYTES of pages at most
+    page = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("page")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = pages.select(page, host(url_col).alias("host")).join(hot, "host", "left").select("host", F.pmod(F.monotonically_increasing_id(), parts).alias("part"), "page", F.lit(None).cast("array<bigint>").alias("template"), F.lit(None).cast("array<bigint>").alias("often"))
+    listed = lists.join(hot, "host", "left").select("host", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast(dealt.schema["page"].dataType).alias("page"), "template", "often")
+    # a host's lists come before its pages
+    rows = dealt.unionByName(listed).repartition(max(1, -(-total // TASK_BYTES)), "host", "part").sortWithinPartitions("host", "part", F.col("page").isNotNull())
+    at = kept.index(html_col)
 
     def texts(batches):
+        now, template, often, guess = None, frozenset(), frozenset(), True
         for b in batches:
-            found = []
-            for text, template in zip(b.column(html_col).to_pylist(), b.column("_template").to_pylist(), strict=True):
-                found.append(main_text(hashed(parse(text or "")), frozenset(template or ())))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found, pa.string())], names=[*kept, out])
-
-    # hosts with more pages than a partition's share are dealt to several; they are one for each shuffle partition at most
-    each = max(1, pages.count() // shuffle_partitions(pages.sparkSession))
-    hot = F.broadcast(hosts.filter(F.col("pages") > each).select(F.col("host").alias("_hot"), F.ceil(F.col("pages") / each).alias("_salts")))
-    salts = F.coalesce("_salts", F.lit(1).cast("long"))
-    salted = lists.join(hot, F.col("host") == F.col("_hot"), "left").select(F.col("host").alias("_of"), "_template", F.explode(F.sequence(F.lit(1).cast("long"), salts)).alias("_part"))
-    dealt = pages.select(*kept).withColumn("_host", host(url_col)).join(hot, F.col("_host") == F.col("_hot"), "left").withColumn("_salt", 1 + F.pmod(F.monotonically_increasing_id(), salts))
-    joined = dealt.join(salted, (F.col("_host") == F.col("_of")) & (F.col("_salt") == F.col("_part")), "left").select(*kept, "_template")
-    return joined.mapInArrow(texts, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
+            mine, found, places = b.column("page"), [], []
+            values = mine.field(at).to_pylist()
+            for k, (key, there, first, second) in enumerate(zip(zip(b.column("host").to_pylist(), b.column("part").to_pylist(), strict=True), mine.is_valid().to_pylist(), b.column("template").to_pylist(), b.column("often").to_pylist(), strict=True)):
+                if key != now:
+                    now, template, often, guess = key, frozenset(), frozenset(), True
+                if there:
+                    places.append(k)
+                    found.append(main_text(hashed(parse(values[k] or "")), template, often, guess))
+                else:
+                    template, often, guess = frozenset(first), frozenset(second), False
+            left = mine.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*left.flatten(), pa.array(found, pa.string())], names=[*kept, out])
+
+    return rows.select("host", "part", "page", "template", "often").mapInArrow(texts, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

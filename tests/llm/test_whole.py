@@ -69,3 +69,26 @@ def test_op4_ids_are_not_texts(spark):
         classes.setdefault(r["class_key"], []).append((r["doc_id"], r["class_id"]))
     order = lambda x: sorted(x, key=str)
     assert order(map(order, classes.values())) == order([order([(5, 5), (9, 5), (None, 5)]), order([(5, 5), (10, 5), (None, 5)]), [(None, None)] * 2])
+
+
+def test_op8_templates_decide(spark, monkeypatch):
+    """Pages without marks: what recurs on the host goes, by counts alone; compound classes and ids say nothing."""
+    side = "<div class='entry-meta'><span>Follow us</span> <i>everywhere</i></div>"
+    rows = [(k, "http://a.example.com/", f"{side}<div id='sharing-data'><h2>Sharing data {k}</h2><p>Body {k}.</p></div><div>All rights</div>", f"Sharing data {k}\nBody {k}.") for k in range(12)]
+    rows += [(100 + k, "http://b.example.com/", f"<article><div class='entry-header'><h1>Title {k}</h1></div><h2>Summary</h2><p>Body {k}</p><p class='notice-board'>Keep?</p><div class='tools'>Print it</div></article>", f"Title {k}\nSummary\nBody {k}\nKeep?") for k in range(12)]
+    cards = "".join(f"<article><p>Card {k}</p></article>" for k in range(3))
+    rows += [(200, "http://c.example.com/", f"<div><p>{'A long text beside cards. ' * 20}</p></div>{cards}", None)]
+    schema = "id int, url string, html string, _host string, _template int, part int, host string"
+    df = spark.createDataFrame([(*r[:3], "mine", 7, 8, "also") for r in rows], schema)
+    got = {r["id"]: r for r in html_text.extract(df).collect()}
+    assert {i: r["text"] for i, r in got.items() if i < 200} == {r[0]: r[3] for r in rows[:-1]}
+    assert got[200]["text"].startswith("A long text") and {(r["_host"], r["_template"], r["part"], r["host"]) for r in got.values()} == {("mine", 7, 8, "also")}
+    # without the lists nearly all texts differ
+    bare = lambda t: html_text.main_text(html_text.hashed(html_text.parse(t)), frozenset())
+    assert all(bare(r[2]) != r[3] for r in rows[:-1])
+    # a hot host dealt to several tasks gives the same
+    monkeypatch.setattr(html_text, "TASK_BYTES", 500)
+    assert {r["id"]: r["text"] for r in html_text.extract(df).collect()} == {i: r["text"] for i, r in got.items()}
+    twice = spark.createDataFrame([(1, "http://a.example.com/", None, "t"), (1, "http://a.example.com/", None, "t"), (None, None, "<p>x</p>", None), (3, "odd", "<p>" + "long " * 100000 + "</p>", "t")], "id int, url string, html string, text string")
+    assert sorted((str(r["id"]), len(r["text"])) for r in html_text.extract(twice).collect()) == [("1", 0), ("1", 0), ("3", 499999), ("None", 1)]
+    assert html_text.extract(twice.limit(0)).count() == 0
