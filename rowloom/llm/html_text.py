@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, tune
+from .common import materialize, shuffle_partitions, table, tune
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -35,8 +35,9 @@ NEVER = frozenset("head script style noscript template iframe nav footer aside f
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Whole classes and ids of elements that aren't main text.
 CLASSES = frozenset("ad ads advert advertisement banner cookies newsletter sidebar menu navbar breadcrumbs footer comments disqus".split())
-#: Parts of classes and ids that are believed only outside of articles, and only where a host has too few pages to count.
+#: Parts of classes and ids: a name made of these and at least one of GUESSES is believed outside of articles where a host has too few pages to count.
 GUESSES = CLASSES | frozenset("ads advertising sponsor sponsored promo cookie consent gdpr notice popup modal subscribe nav navigation breadcrumb masthead comment share sharing social related recommended widget pagination".split())
+NEUTRAL = GUESSES | frozenset("area bar block box button buttons container links list main posts section site top wrapper".split())
 #: Blocks in an article that stay however often they recur.
 STAY = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre caption figcaption legend summary".split())
 
@@ -131,7 +132,7 @@ def dropped(node: Node, in_article: bool, guess: bool = False) -> bool:
     if node.tag in ("html", "body", "article", "main"):
         return False
     marks = {*got.get("class", "").split(), got.get("id", "")}
-    if guess and not in_article and set(re.split(r"[\s_-]+", " ".join(marks))) & GUESSES:
+    if guess and not in_article and any(parts & GUESSES and parts <= NEUTRAL for m in marks if (parts := set(re.split("[_-]+", m)))):
         return True
     return bool(marks & CLASSES) or got.get("role") in ROLES
 
@@ -195,8 +196,8 @@ def main_text(root: Node, template: frozenset[int], often: frozenset[int] = froz
     return inside if len(inside) * (10 if len(parts) == 1 else 2) >= len(whole) else whole
 
 
-#: Bytes of pages that one task reads, about; hosts with more are dealt to several.
-TASK_BYTES = 32 << 20
+#: Bytes of pages that one task reads, about: an even share of them between these bounds. Hosts with more are dealt to several tasks.
+TASK_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text", share: float = 0.1, article_share: float = 0.5, least_pages: int = 5) -> DataFrame:
@@ -227,18 +228,19 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
     counts = materialize(found.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages), "subtrees")
     different = counts.filter(F.col("digest") == WHOLE).select("host", F.col("n").alias("different"))
     recurring = counts.filter(F.col("digest") != WHOLE).join(different, "host").filter(F.col("n") > share * F.col("different"))
-    lists = different.select("host").join(recurring, "host", "left").groupBy("host").agg(F.collect_list("digest").alias("template"), F.collect_list(F.when(F.col("n") > article_share * F.col("different"), F.col("digest"))).alias("often"))  # hosts of too few pages have none
+    lists = recurring.groupBy("host").agg(F.first(F.col("different") * share >= least_pages).alias("many"), F.collect_list("digest").alias("template"), F.collect_list(F.when(F.col("n") > article_share * F.col("different"), F.col("digest"))).alias("often"))
 
     sizes = pages.select(host(url_col).alias("host"), F.coalesce(F.length(html_col), F.lit(0)).cast("long").alias("size"))
     sizes = materialize(sizes.groupBy("host").agg((F.sum("size") + 200 * F.count("*")).alias("size")), "hosts")
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    hot = F.broadcast(sizes.filter(F.col("size") > TASK_BYTES).select("host", F.ceil(F.col("size") / TASK_BYTES).alias("parts")))  # a row for TASK_BYTES of pages at most
+    each = min(TASK_BYTES, max(LEAST_BYTES, total // shuffle_partitions(pages.sparkSession)))
+    hot = F.broadcast(sizes.filter(F.col("size") > each).select("host", F.ceil(F.col("size") / each).alias("parts")))  # a row for each share of pages at most
     page = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("page")
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    dealt = pages.select(page, host(url_col).alias("host")).join(hot, "host", "left").select("host", F.pmod(F.monotonically_increasing_id(), parts).alias("part"), "page", F.lit(None).cast("array<bigint>").alias("template"), F.lit(None).cast("array<bigint>").alias("often"))
-    listed = lists.join(hot, "host", "left").select("host", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast(dealt.schema["page"].dataType).alias("page"), "template", "often")
+    dealt = pages.select(page, host(url_col).alias("host")).join(hot, "host", "left").select("host", F.pmod(F.monotonically_increasing_id(), parts).alias("part"), "page", F.lit(None).cast("array<bigint>").alias("template"), F.lit(None).cast("array<bigint>").alias("often"), F.lit(None).cast("boolean").alias("many"))
+    listed = lists.join(hot, "host", "left").select("host", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast(dealt.schema["page"].dataType).alias("page"), "template", "often", "many")
     # a host's lists come before its pages
-    rows = dealt.unionByName(listed).repartition(max(1, -(-total // TASK_BYTES)), "host", "part").sortWithinPartitions("host", "part", F.col("page").isNotNull())
+    rows = dealt.unionByName(listed).repartition(max(1, -(-total // each)), "host", "part").sortWithinPartitions("host", "part", F.col("page").isNotNull())
     at = kept.index(html_col)
 
     def texts(batches):
@@ -246,18 +248,18 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
         for b in batches:
             mine, found, places = b.column("page"), [], []
             values = mine.field(at).to_pylist()
-            for k, (key, there, first, second) in enumerate(zip(zip(b.column("host").to_pylist(), b.column("part").to_pylist(), strict=True), mine.is_valid().to_pylist(), b.column("template").to_pylist(), b.column("often").to_pylist(), strict=True)):
+            for k, (key, there, first, second, many) in enumerate(zip(zip(b.column("host").to_pylist(), b.column("part").to_pylist(), strict=True), mine.is_valid().to_pylist(), b.column("template").to_pylist(), b.column("often").to_pylist(), b.column("many").to_pylist(), strict=True)):
                 if key != now:
                     now, template, often, guess = key, frozenset(), frozenset(), True
                 if there:
                     places.append(k)
                     found.append(main_text(hashed(parse(values[k] or "")), template, often, guess))
                 else:
-                    template, often, guess = frozenset(first), frozenset(second), False
+                    template, often, guess = frozenset(first), frozenset(second), not many
             left = mine.take(pa.array(places, pa.int64()))
             yield pa.RecordBatch.from_arrays([*left.flatten(), pa.array(found, pa.string())], names=[*kept, out])
 
-    return rows.select("host", "part", "page", "template", "often").mapInArrow(texts, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
+    return rows.select("host", "part", "page", "template", "often", "many").mapInArrow(texts, T.StructType([*(pages.schema[c] for c in kept), T.StructField(out, T.StringType())]))
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -88,6 +88,7 @@ def test_op8_templates_decide(spark, monkeypatch):
     assert all(bare(r[2]) != r[3] for r in rows[:-1])
     # a hot host dealt to several tasks gives the same
     monkeypatch.setattr(html_text, "TASK_BYTES", 500)
+    monkeypatch.setattr(html_text, "LEAST_BYTES", 100)
     assert {r["id"]: r["text"] for r in html_text.extract(df).collect()} == {i: r["text"] for i, r in got.items()}
     twice = spark.createDataFrame([(1, "http://a.example.com/", None, "t"), (1, "http://a.example.com/", None, "t"), (None, None, "<p>x</p>", None), (3, "odd", "<p>" + "long " * 100000 + "</p>", "t")], "id int, url string, html string, text string")
     assert sorted((str(r["id"]), len(r["text"])) for r in html_text.extract(twice).collect()) == [("1", 0), ("1", 0), ("3", 499999), ("None", 1)]
