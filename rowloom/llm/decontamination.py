@@ -139,8 +139,8 @@ def windows(text: bytes, size: int) -> list[list[bytes]]:
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str, words_most: int):
-    """The query set as lists of (id, text), each of about ``words_most`` words at most (a longer text stands alone)."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    """The query set as lists of (name, text), each of about ``words_most`` words at most (a longer text stands alone); one list is on the driver at a time. A null id's name is empty."""
+    rows = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     block, held = [], 0
     for r in rows.toLocalIterator():
         block.append((r["id"], bytes(r["text"])))
@@ -148,51 +148,63 @@ def blocks(df: DataFrame, id_col: str, text_col: str, words_most: int):
         if held >= words_most:
             yield block
             block, held = [], 0
-    yield block
+    if block:
+        yield block
 
 
-def search_block(index: DataFrame, items: list[tuple[int, bytes]], size: int, complete: bool = True) -> DataFrame:
+PART = "shard bigint, place bigint, doc_id bigint, n_words bigint, hits array<bigint>, items array<string>, near array<string>"
+
+
+def search_block(index: DataFrame, items: list[tuple[str, bytes]], size: int, within: int | None, complete: bool) -> DataFrame:
     """A row for each document of the index: FINISHED, or what is needed to put blocks together."""
-    phrases = sorted({(tuple(w), i) for i, text in items for w in windows(text, size)})
+    names = sorted({i for i, _ in items})
+    number = {x: k for k, x in enumerate(names)}
+    phrases = sorted({(tuple(w), number[i]) for i, text in items for w in windows(text, size)})
     known = {w: k for k, w in enumerate(sorted({w for p, _ in phrases for w in p}))}
     by_size: dict[int, tuple[list, list]] = {}
     for p, i in phrases:
         got = by_size.setdefault(len(p), ([], []))
         got[0].append([known[w] for w in p]), got[1].append(i)
     tables = {n: (np.asarray(t, dtype=np.int64), np.asarray(i, dtype=np.int64)) for n, (t, i) in by_size.items()}
-    sent = index.sparkSession.sparkContext.broadcast((known, tables))  # bounded by words_most
+    sent = index.sparkSession.sparkContext.broadcast((known, tables, names))  # bounded by words_most
 
     def search(batches):
-        known, tables = sent.value
+        known, tables, names = sent.value
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(row, known)
                 hits: dict[int, list] = defaultdict(list)
                 found: dict[int, set] = defaultdict(set)
+                close: dict[int, set] = defaultdict(set)
                 for n, (terms, ids) in tables.items():
                     which, at = s.phrases(terms)
                     for d, p, i in zip(s.documents(at).tolist(), at.tolist(), ids[which].tolist(), strict=True):
                         hits[d].append((p - int(s.first[d]), p - int(s.first[d]) + n)), found[d].add(i)
+                    for k in np.flatnonzero((s.count[terms] > 0).all(axis=1)) if within is not None else ():
+                        for d in s.documents(s.near(sorted(set(terms[k].tolist())), within)).tolist():
+                            close[d].add(int(ids[k]))
                 spans = [[x for h in sorted(set(hits[d])) for x in h] if d in hits else [] for d in range(len(s.ids))]
-                yield out(row["shard"], s.ids.tolist(), s.n_words.tolist(), spans, [sorted(found[d]) if d in found else [] for d in range(len(s.ids))])
+                named = lambda x: [[names[i] for i in sorted(x[d])] if d in x else [] for d in range(len(s.ids))]  # noqa: E731, B023
+                yield out(row["shard"], s.ids.tolist(), s.n_words.tolist(), spans, named(found), named(close))
 
-    def out(shard, ids, n_words, spans, items):
+    def out(shard, ids, n_words, spans, items, close):
         if complete:
-            return finished(ids, n_words, spans, items)
-        return pa.RecordBatch.from_arrays([pa.array([shard] * len(ids)), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["shard", "place", "doc_id", "n_words", "hits", "items"])
+            return finished(ids, n_words, spans, items, close)
+        columns = [pa.array([shard] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.string())) for x in (items, close))]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PART.split(", ")])
 
-    return index.mapInArrow(search, FINISHED if complete else "shard bigint, place bigint, doc_id bigint, n_words bigint, hits array<bigint>, items array<bigint>")
+    return index.mapInArrow(search, FINISHED if complete else PART)
 
 
-FINISHED = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean, hits array<bigint>, items_sha256 string"
+FINISHED = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean, hits array<bigint>, items_sha256 string, near array<string>"
 
 
-def finished(ids: list, n_words: list, spans: list, items: list) -> pa.RecordBatch:
+def finished(ids: list, n_words: list, spans: list, items: list, near: list) -> pa.RecordBatch:
     n_hit = [covered(h) for h in spans]
-    names = [sorted(map(str, x)) for x in items]
+    names = [sorted(x) for x in items]
     ids = [None if x == -(2**63) else x for x in ids]
     digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-    columns = [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(spans, pa.list_(pa.int64())), pa.array(digests, pa.string())]
+    columns = [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(spans, pa.list_(pa.int64())), pa.array(digests, pa.string()), pa.array([sorted(x) for x in near], pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FINISHED.split(", ")])
 
 
@@ -206,31 +218,38 @@ def covered(hits: list[int]) -> int:
     return total
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words_most: int = 2_000_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (ids sorted as strings), contaminated and hits (spans of words) of every document.
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words_most: int = 2_000_000, within: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (ids sorted as strings), contaminated, hits (spans of words) and near of every document.
 
-    Rows that repeat an id get a row each. Null texts have no words; null ids are given back as null. Tables without
-    rows are fine. Query sets beyond ``words_most`` words are searched in blocks, whose spans are put together.
+    With ``within``, ``near`` has the ids of items that have a window whose words all lie within so many words of an
+    occurrence of the rarest one, in any order. Ids of documents are integers; null ones are given back as null, and
+    rows that repeat an id get a row each. Null texts have no words. Ids of items have any type; a null one counts as an
+    empty name, and items that repeat an id count once. Very long texts fill a shard by themselves. Tables without rows
+    are fine. Query sets beyond ``words_most`` words are searched block by block; each block's result is written, and
+    their spans are put together.
     """
     spark = docs.sparkSession
     tune(spark)
     path = shared_path(spark, "postings")
     build_index(docs, path, id_col, text_col)
     index = spark.read.schema(T._parse_datatype_string(INDEX)).parquet(path)
-    queries = list(blocks(items, item_col, item_text_col, words_most))
-    parts = [search_block(index, b, size, len(queries) == 1) for b in queries]
-    found = parts[0]
-    if len(parts) == 1:
-        return found
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    queries = blocks(items, item_col, item_text_col, words_most)
+    block, following = next(queries, []), next(queries, None)
+    if following is None:
+        return search_block(index, block, size, within, True)
+    parts = shared_path(spark, "blocks")
+    while block is not None:
+        search_block(index, block, size, within, False).write.mode("append").parquet(parts)
+        block, following = following, next(queries, None)
 
     def merge(_, rows):
-        spans = sorted({(f, e) for h in rows["hits"] for f, e in zip(h[::2], h[1::2], strict=True)})
-        r = finished([int(rows["doc_id"].iloc[0])], [int(rows["n_words"].iloc[0])], [[int(x) for s in spans for x in s]], [sorted({int(i) for x in rows["items"] for i in x})])
-        return r.to_pandas()
+        got = rows.to_pydict()
+        spans = sorted({(f, e) for h in got["hits"] for f, e in zip(h[::2], h[1::2], strict=True)})
+        union = lambda c: sorted({i for x in got[c] for i in x})
+        return pa.Table.from_batches([finished(got["doc_id"][:1], got["n_words"][:1], [[x for s in spans for x in s]], [union("items")], [union("near")])])
 
-    return found.groupBy("shard", "place").applyInPandas(merge, FINISHED)  # a row for each block
+    found = spark.read.schema(T._parse_datatype_string(PART)).parquet(parts)
+    return found.groupBy("shard", "place").applyInArrow(merge, FINISHED)  # a row for each block
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -119,9 +119,14 @@ def differing(forms: DataFrame, fingerprint: str, form: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint of every text (null: empty; it has a fingerprint, too). Equal canonical forms, and only they, get equal ones."""
-    rows = with_form(df, F.coalesce(F.col(text_col), F.lit("")), "_form").withColumn(out, digest(F.col("_form")))
-    return numbered(rows, differing(rows.select(out, "_form"), out, "_form"), out).drop("_form")
+    """Adds the fingerprint of every text (null: empty; it has a fingerprint, too). Equal canonical forms, and only they, get equal ones.
+
+    Other columns stay, whatever their names, but for an older one of its name; repeated rows each get a row; very long
+    texts are folded whole; an empty table gives no rows.
+    """
+    mine = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != out)).alias("_row")
+    rows = with_form(df.select(mine, F.coalesce(F.col(text_col), F.lit("")).alias("_form")), F.col("_form"), "_form").withColumn("_out", digest(F.col("_form")))
+    return numbered(rows, differing(rows.select("_out", "_form"), "_out", "_form"), "_out").select("_row.*", F.col("_out").alias(out))
 
 
 #: Rows of a few numbers or a hash that are sent to all tasks, at most; beyond them a shuffle joins.

@@ -21,7 +21,6 @@ p(w) = (c(w) + 1) / (N + V + 1): sums to 1 for every context. Before a text's fi
 
 from __future__ import annotations
 
-import json
 from collections import Counter, defaultdict
 from itertools import count
 from math import isqrt
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, shuffle_partitions, table, texts, tune
+from .common import mapped, materialize, put, shared_path, shuffle_partitions, table, texts, tune
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b" end"  # no word holds a space
@@ -164,45 +163,6 @@ def probability(codes: np.ndarray) -> np.ndarray:
     return 10 ** (codes.astype(np.float64) / 65535 * LEAST_LOG)
 
 
-def files(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def put(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file of aligned arrays, moved to its name when it is complete; a repeated task writes the same again."""
-    where, folder = files(path)
-    where.create_dir(folder)
-    head, at = {}, 0
-    for k, a in arrays.items():
-        head[k] = [a.dtype.str, at, len(a)]
-        at += -(-a.nbytes // 8) * 8
-    text = json.dumps(head).encode()
-    text += b" " * (-(len(text) + 8) % 8)
-    temporary = f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}"
-    with where.open_output_stream(temporary) as f:
-        f.write(len(text).to_bytes(8, "little") + text)
-        for a in arrays.values():
-            f.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
-    where.move(temporary, f"{folder}/{name}")
-
-
-def mapped(path: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory where the shared folder is mounted, else read."""
-    from pyarrow import fs
-
-    where, folder = files(path)
-    if isinstance(where, fs.LocalFileSystem):
-        data = np.memmap(f"{folder}/{name}", dtype=np.uint8, mode="r")
-    else:
-        with where.open_input_file(f"{folder}/{name}") as f:
-            data = np.frombuffer(f.read(), np.uint8)
-    n = int(data[:8].view("<u8")[0])
-    head = json.loads(bytes(data[8 : 8 + n]))
-    return {k: data[8 + n + at : 8 + n + at + np.dtype(d).itemsize * size].view(d) for k, (d, at, size) in head.items()}
-
-
 class Files:
     """Files of a level, few of them open at a time."""
 

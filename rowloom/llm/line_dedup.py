@@ -1,11 +1,10 @@
 """Line dedup through a sharded minimal perfect hash.
 
 Lines' keys are hashed to 128 bits where the documents are read; Spark counts the documents of each key, with partial
-sums on the map side. Keys of enough documents are dealt to shards by their hash, and each shard becomes one row with a
-minimal perfect hash (levels of bit arrays; a key's place is the rank of its bit) over arrays of fingerprints and of
-last documents. The rows are written to the shared folder, in files by ranges of shards. Documents probe those arrays:
-a task sorts the hashes of a batch by shard and keeps few shards in memory, so that neither texts nor lines are joined
-or shuffled.
+sums on the map side. All distinct keys are dealt to shards by their hash, and each shard becomes one file with a
+minimal perfect hash (levels of bit arrays; a key's place is the rank of its bit) over arrays of fingerprints, of counts
+and of last documents. Documents probe those arrays: a task sorts the hashes of a batch by shard and maps the shards'
+files into memory, so that neither texts nor lines are joined or shuffled; the count it finds decides.
 """
 
 from __future__ import annotations
@@ -14,13 +13,12 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, table, tune
+from .common import mapped, materialize, put, shared_path, table, tune
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -89,8 +87,8 @@ class MinimalPerfectHash:
         return np.asarray([len(self.levels), *(len(b) for b in self.levels)], dtype="<u8").tobytes() + b"".join(b.tobytes() for b in self.levels)
 
     @classmethod
-    def load(cls, data: bytes) -> MinimalPerfectHash:
-        words = np.frombuffer(data, dtype="<u8")
+    def load(cls, data: bytes | np.ndarray) -> MinimalPerfectHash:
+        words = np.frombuffer(data, dtype="<u8") if isinstance(data, bytes) else data
         n = int(words[0])
         return cls(np.split(words[n + 1 :], np.cumsum(words[1 : n + 1].astype(np.int64))[:-1]) if n else [])
 
@@ -112,98 +110,82 @@ def line_counts(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return found.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
 
 
-def write_index(counts: DataFrame, path: str, shards: int) -> None:
-    """A row for each shard that has keys: shard, mph, fingerprints, counts, last."""
+def write_index(counts: DataFrame, path: str, shards: int) -> list[int]:
+    """A file for each shard that has keys: mph, fingerprints, counts, last, and beside (keys that share their first hash with another). Gives the shards."""
 
-    def build(_, rows):
-        import pandas as pd
+    def build(key, rows):
+        shard = key[0].as_py()
+        h1, h2, docs, last = (rows.column(c).to_numpy() for c in ("h1", "h2", "docs", "last"))
+        order = np.argsort(h1, kind="stable")
+        again = np.zeros(len(h1), bool)
+        again[order[1:]] = h1[order[1:]] == h1[order[:-1]]
+        first = ~again
+        mph = MinimalPerfectHash.build(h1[first].view(np.uint64))
+        at = mph.index(h1[first].view(np.uint64))
+        arrays = {"mph": np.frombuffer(mph.dump(), "<u8"), "beside": np.stack([x[again] for x in (h1, h2, docs, last)], axis=1).ravel().astype("<i8")}
+        for name, x in (("fingerprints", h2), ("counts", docs.astype("<u4") if docs.max() < 1 << 32 else docs), ("last", last)):
+            arrays[name] = np.zeros(len(at), x.dtype)
+            arrays[name][at] = x[first]
+        put(path, f"{shard:08d}", arrays)
+        return pa.table({"shard": pa.array([shard], pa.int64())})
 
-        h1 = rows["h1"].to_numpy().view(np.uint64)
-        first = ~pd.Series(h1).duplicated().to_numpy()  # of keys that share the first hash, the later ones are kept beside
-        extra = rows[~first]
-        mph = MinimalPerfectHash.build(h1[first])
-        at = mph.index(h1[first])
-        def put(c):
-            x = np.zeros(len(at), dtype=np.int64)
-            x[at] = rows[c].to_numpy()[first]
-            return x.tobytes()
-        last = rows["last"].fillna(-(2**63)).astype("int64")
-        rows = rows.assign(last=last)
-        return pd.DataFrame([(int(rows["shard"].iloc[0]), mph.dump(), put("h2"), put("docs"), put("last"), rows[~first][["h1", "h2", "last"]].to_numpy(dtype=np.int64).tobytes() if len(extra) else b"")], columns=["shard", "mph", "fingerprints", "counts", "last", "beside"])
-
-    dealt = counts.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
-    dealt.groupBy("shard").applyInPandas(build, "shard bigint, mph binary, fingerprints binary, counts binary, last binary, beside binary").sort("shard").write.parquet(path)
+    dealt = counts.select("h1", "h2", "docs", F.coalesce("last", F.lit(-(2**63))).alias("last"), F.pmod(F.col("h1"), F.lit(shards)).alias("shard"))
+    return [r[0] for r in dealt.groupBy("shard").applyInArrow(build, "shard bigint").collect()]  # a number for each file
 
 
 class Probe:
-    """The shards of an index in the shared folder; at most ``most`` of them in memory."""
-
-    def __init__(self, path: str, shards: int, most: int = 16):
-        from pyarrow import fs
+    """The shards of an index in the shared folder; at most ``most`` of them open."""
 
-        self.files, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        self.shards, self.most, self.held, self.where = shards, most, OrderedDict(), {}
-        for f in self.files.get_file_info(fs.FileSelector(folder)):
-            if f.path.endswith(".parquet"):
-                meta = pq.ParquetFile(self.files.open_input_file(f.path))
-                for k, s in enumerate(meta.read(columns=["shard"]).column(0).to_pylist()):
-                    self.where[s] = (f.path, k)
+    def __init__(self, path: str, shards: int, there: set[int], most: int = 256):
+        self.path, self.shards, self.there, self.most, self.held = path, shards, there, most, OrderedDict()
 
     def shard(self, s: int):
         if s not in self.held:
             if len(self.held) >= self.most:
                 self.held.popitem(last=False)
-            if s not in self.where:
-                self.held[s] = None
-            else:
-                path, _ = self.where[s]
-                t = pq.read_table(path, filesystem=self.files, filters=[("shard", "=", s)])
-                row = {c: t.column(c)[0].as_py() for c in t.column_names}
-                beside = np.frombuffer(row["beside"], dtype="<i8").reshape(-1, 3)
-                self.held[s] = (MinimalPerfectHash.load(row["mph"]), np.frombuffer(row["fingerprints"], "<i8").view(np.uint64), np.frombuffer(row["last"], "<i8"), {(int(a), int(b)): int(c) for a, b, c in beside})
+            a = mapped(self.path, f"{s:08d}")
+            self.held[s] = (MinimalPerfectHash.load(a["mph"]), a["fingerprints"].view(np.uint64), a["counts"], a["last"], {(x, y): (n, last) for x, y, n, last in a["beside"].reshape(-1, 4).tolist()})
         self.held.move_to_end(s)
         return self.held[s]
 
-    def last(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, the last document) for the hashes of keys."""
-        found, last = np.zeros(len(h1), dtype=bool), np.zeros(len(h1), dtype=np.int64)
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many documents hold each key (0: none) and the last of them."""
+        counts, last = np.zeros(len(h1), dtype=np.int64), np.zeros(len(h1), dtype=np.int64)
         shard = h1.view(np.int64) % self.shards
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for at in np.split(order, cuts) if len(order) else []:
-            if (held := self.shard(int(shard[at[0]]))) is None:
+            if int(shard[at[0]]) not in self.there:
                 continue
-            mph, prints, lasts, beside = held
+            mph, prints, held, lasts, beside = self.shard(int(shard[at[0]]))
             k = mph.index(h1[at])
             ok = (k >= 0) & (prints[k] == h2[at])
-            found[at], last[at] = ok, np.where(ok, lasts[k], 0)
+            counts[at], last[at] = np.where(ok, held[k], 0), np.where(ok, lasts[k], 0)
             for i in at[~ok] if beside else []:
                 if (got := beside.get((int(h1[i].view(np.int64)), int(h2[i].view(np.int64))))) is not None:
-                    found[i], last[i] = True, got
-        return found, last
+                    counts[i], last[i] = got
+        return counts, last
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", keys_per_shard: int = 250_000) -> DataFrame:
     """Adds n_lines, n_dropped and kept_text to every row; other columns stay, but for older ones of these names.
 
-    A null or empty text is one empty line. Rows that repeat an id count as documents of their own; a line stays in all
-    rows of the largest id. Null ids come before all others. An empty table gives no rows.
+    A document is a row: rows that repeat an id count each, and a line stays in all rows of the largest id. A null or
+    empty text is one empty line. Null ids come before all others. Very long texts are split whole; an empty table gives
+    no rows.
     """
     spark = df.sparkSession
     tune(spark)
-    counts = line_counts(df, id_col, text_col, min_chars).filter(F.col("docs") >= min_docs)
-    held = shared_path(spark, "line-counts")
-    counts.write.parquet(held)
-    counts = spark.read.schema(counts.schema).parquet(held)
+    counts = materialize(line_counts(df, id_col, text_col, min_chars), "line-counts")
     shards = max(1, -(-counts.count() // keys_per_shard))
     index = shared_path(spark, "line-index")
-    write_index(counts, index, shards)
+    sent = spark.sparkContext.broadcast(set(write_index(counts, index, shards)))  # a number for each file
 
     kept = [c for c in df.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, k) for c, k in (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("kept_text", T.StringType())))])
 
     def drop(batches):
-        probe = Probe(index, shards)
+        probe = Probe(index, shards, sent.value)
         for b in batches:
             docs = [x or b"" for x in b.column(text_col).cast(pa.binary()).to_pylist()]
             ids = b.column(id_col).cast(pa.int64()).to_pylist()
@@ -212,8 +194,8 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: s
             gone: dict[int, set[int]] = {}
             if pairs:
                 doc, line, h1, h2 = zip(*pairs, strict=True)
-                found, last = probe.last(np.asarray(h1, dtype=np.uint64), np.asarray(h2, dtype=np.uint64))
-                for at in np.flatnonzero(found):
+                found, last = probe.find(np.asarray(h1, dtype=np.uint64), np.asarray(h2, dtype=np.uint64))
+                for at in np.flatnonzero(found >= min_docs):
                     i = doc[at]
                     if (ids[i] if ids[i] is not None else -(2**63)) != last[at]:
                         gone.setdefault(i, set()).add(line[at])
@@ -231,13 +213,13 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, i, lines[i] AS line,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, i, lines[i] AS line,
         translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT l.doc_id, l.i, l.line, k.last IS NOT NULL AND k.last <> l.doc_id AS gone FROM l LEFT JOIN k ON l.key = k.key)
+      FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+m AS (SELECT l.r, l.doc_id, l.i, l.line, k.last IS NOT NULL AND k.last <> l.doc_id AS gone FROM l LEFT JOIN k ON l.key = k.key)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """

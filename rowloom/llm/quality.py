@@ -100,11 +100,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Adds score and predicted; learns only from rows outside ``held_out``. Null ids and repeated rows are scored, too."""
+    """Adds score and predicted to every row; other columns stay, whatever their names, but for older ones of these names.
+
+    Learns only from rows outside ``held_out``. Null ids, repeated rows, null, empty and very long texts are scored,
+    too; an empty table gives no rows.
+    """
     model = fit_documents(docs, labels.filter(~held_out(F.col("doc_id"))))
-    rows, names = statistics(docs.drop("score", "predicted"))
-    rows = rows.select("*", F.inline(F.array(F.struct(model.score().alias("score")))))  # a filter on the score isn't pushed below it, to count everything again
-    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop(*names)
+    mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted"))).alias("row")
+    rows, _ = statistics(docs.select(mine, "text"))
+    rows = rows.select("row", F.inline(F.array(F.struct(model.score().alias("score")))))  # a filter on the score isn't pushed below it, to count everything again
+    return rows.select("row.*", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from rowloom.llm import html_text, near_dedup
+from rowloom.llm import decontamination, fingerprints, html_text, line_dedup, near_dedup, quality
 from rowloom.llm import language_model as lm
 
 from .conftest import SMALL
@@ -93,3 +93,66 @@ def test_op8_templates_decide(spark, monkeypatch):
     twice = spark.createDataFrame([(1, "http://a.example.com/", None, "t"), (1, "http://a.example.com/", None, "t"), (None, None, "<p>x</p>", None), (3, "odd", "<p>" + "long " * 100000 + "</p>", "t")], "id int, url string, html string, text string")
     assert sorted((str(r["id"]), len(r["text"])) for r in html_text.extract(twice).collect()) == [("1", 0), ("1", 0), ("3", 499999), ("None", 1)]
     assert html_text.extract(twice.limit(0)).count() == 0
+
+
+def test_op2_items(spark):
+    """Null, textual and repeated item ids, blocks of one item each, and words near each other in another order."""
+    passage = [" ".join(f"{x}{k}" for k in range(12)) for x in "abc"]
+    docs = spark.createDataFrame([(1, passage[0]), (1, passage[1] + " " + passage[2]), (None, "x " + passage[0]), (4, " ".join(reversed(passage[0].split()))), (5, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, passage[0]), ("k", passage[1]), ("k", passage[2]), ("e", None)], "item_id string, text string")
+    for most in (2_000_000, 1):
+        got = decontamination.contamination(docs, items, words_most=most, within=12).collect()
+        assert sorted((str(r["doc_id"]), r["n_hit"], r["n_items"], r["items"], r["near"]) for r in got) == [("1", 12, 1, [""], [""]), ("1", 24, 1, ["k"], ["k"]), ("4", 0, 0, [], [""]), ("5", 0, 0, [], []), ("None", 12, 1, [""], [""])]
+    assert {r["n_hit"] for r in decontamination.contamination(docs, items.limit(0)).collect()} == {0}
+
+
+def test_names_of_the_caller(spark):
+    """Columns with the operators' own names come back as they were."""
+    text = "A sentence of some words, which is long enough to be a line of its own. "
+    rows = [(k, text * (k % 3), "mine", 1.5, k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _text string, s_chars double, _form bigint")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
+    for out in (quality.scored(df, labels).drop("score", "predicted"), fingerprints.fingerprint(df).drop("fingerprint"), line_dedup.dedup_lines(df).drop("n_lines", "n_dropped", "kept_text")):
+        assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_op10_counts_are_probed(spark, tmp_path):
+    """Keys of one to nine documents, all in the index with their counts, in several shards."""
+    lines = [f"a line number {k} with more than forty code points" for k in range(300)]
+    rows = [(i, "\n".join(x for k, x in enumerate(lines) if i < k % 9 + 1)) for i in range(9)]
+    counts = line_dedup.line_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", 40)
+    there = line_dedup.write_index(counts, str(tmp_path), 7)
+    probe = line_dedup.Probe(str(tmp_path), 7, set(there))
+    import numpy as np
+
+    h1, h2 = (np.asarray(x, np.uint64) for x in zip(*(line_dedup.two_hashes(x.encode()) for x in [*lines, "not there, but also more than forty code points"])))
+    found, last = probe.find(h1, h2)
+    assert found.tolist() == [k % 9 + 1 for k in range(300)] + [0] and last.tolist()[:300] == [k % 9 for k in range(300)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), keys_per_shard=40).collect()}
+    assert got == {i: sum(k % 9 + 1 >= 5 and k % 9 != i for k in range(300) if i < k % 9 + 1) for i in range(9)}
+
+
+def test_op9_plain(spark):
+    """The compiled expression against the rules evaluated one by one on statistics counted in Python."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.fit_documents(docs, labels.filter(~quality.held_out(quality.F.col("doc_id"))))
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, labels).collect()}
+
+    def plain(t):
+        t = t or ""
+        words, parts = [w for w in re.split(r"[ \t-\r]+", t) if w], [x for x in t.split("\n") if x]
+        n = lambda p: len(re.findall(p, t))
+        share = lambda a, b: a / b if b else 0.0
+        s = {"s_chars": len(t), "s_words": len(words), "s_lines": len(parts), "s_signs": share(n(r"[#$%&*+<=>@\\^_`{|}~\[\]]"), len(t)), "s_bars": share(t.count("|"), len(words)), "s_exclaims": share(t.count("!"), len(words))}
+        s |= {"s_upper": share(sum(c.isupper() for c in t), len(t)), "s_digits": share(n("[0-9]"), len(t)), "s_stops": share(n("[.,;:?]"), len(words)), "s_word_length": share(len(t), len(words)), "s_line_length": share(len(words), len(parts))}
+        s |= {"s_distinct_words": share(len(set(words)), len(words)), "s_distinct_lines": share(len(set(parts)), len(parts)), "s_repeats": share(n(r"(?<![^\s])(\S+)\s(?=\1(?:\s|$))"), len(words))}
+        total = model.intercept + sum(w for rule, w in model.rules if all(s[c] <= x if low else s[c] > x for c, low, x in rule))
+        return 1 / (1 + math.exp(-total))
+
+    assert model.rules
+    for r in docs.collect():
+        assert got[r["doc_id"]] == pytest.approx(plain(r["text"]), abs=1e-9), r["doc_id"]
