@@ -114,6 +114,17 @@ def hashed(root: Node) -> Node:
     return root
 
 
+def countable(root: Node):
+    """The elements that counts can decide about: not those that go or stay in any case."""
+    stack = [root]
+    while stack:
+        top = stack.pop()
+        for c in top.children:
+            if isinstance(c, Node) and not dropped(c, True) and not (top.tag in RUNS and c.tag not in BLOCK):
+                yield c
+                stack.append(c)
+
+
 def number(digest: bytes) -> int:
     return int.from_bytes(digest, "big", signed=True)
 
@@ -216,7 +227,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
             hosts, digests, bodies = [], [], []
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 root = parse(text or "")
-                found = {number(n.digest) for n in walk(hashed(root))}
+                found = {number(n.digest) for n in countable(hashed(root))}
                 root.digest = xxhash.xxh3_64_digest(b"".join(c.digest if isinstance(c, Node) else c.encode(errors="replace") for c in root.children))
                 found.add(WHOLE)
                 hosts += [name] * len(found)
@@ -224,7 +235,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
                 bodies += [body(root)] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(bodies, pa.int64())], names=["host", "digest", "body"])
 
-    found = pages.select(host(url_col), html_col).mapInArrow(subtrees, "host string, digest bigint, body bigint").distinct()
+    found = pages.select(host(url_col), html_col).mapInArrow(subtrees, "host string, digest bigint, body bigint")
+    # one shuffle for both steps of the count
+    found = found.repartition(shuffle_partitions(pages.sparkSession), "host", "digest").dropDuplicates(["host", "digest", "body"])
     counts = materialize(found.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages), "subtrees")
     different = counts.filter(F.col("digest") == WHOLE).select("host", F.col("n").alias("different"))
     recurring = counts.filter(F.col("digest") != WHOLE).join(different, "host").filter(F.col("n") > share * F.col("different"))
