@@ -208,7 +208,7 @@ def main_text(root: Node, template: frozenset[int], often: frozenset[int] = froz
 
 
 #: Bytes of pages that one task reads, about: an even share of them between these bounds. Hosts with more are dealt to several tasks.
-TASK_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
+TASK_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text", share: float = 0.1, article_share: float = 0.5, least_pages: int = 5) -> DataFrame:
@@ -235,9 +235,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out:
                 bodies += [body(root)] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(bodies, pa.int64())], names=["host", "digest", "body"])
 
-    found = pages.select(host(url_col), html_col).mapInArrow(subtrees, "host string, digest bigint, body bigint")
-    # one shuffle for both steps of the count
-    found = found.repartition(shuffle_partitions(pages.sparkSession), "host", "digest").dropDuplicates(["host", "digest", "body"])
+    found = pages.select(host(url_col), html_col).mapInArrow(subtrees, "host string, digest bigint, body bigint").distinct()  # by body, too, so that a host's commonest subtree is spread
     counts = materialize(found.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages), "subtrees")
     different = counts.filter(F.col("digest") == WHOLE).select("host", F.col("n").alias("different"))
     recurring = counts.filter(F.col("digest") != WHOLE).join(different, "host").filter(F.col("n") > share * F.col("different"))
