@@ -36,13 +36,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, under: str | None = None, **options: str) -> DataFrame:
+    """Write to the shared folder (to a folder ``under`` it) and read again: cuts the lineage and survives lost executors."""
+    path = f"{under}/{name}-{uuid.uuid4().hex}" if under else shared_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

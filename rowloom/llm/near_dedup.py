@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts, tune
+from .common import materialize, remove, shared_path, table, texts, tune
 
 CELLS, BLOCK = 1 << 20, 1 << 12
 #: Members of a bucket that are compared with as many others in one group, about.
@@ -153,17 +153,17 @@ def sorted_join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> Data
     return a.join(b.hint("merge"), on, how)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, under: str | None = None) -> DataFrame:
     """id and least id of its component, for links (a, b) of integers, by large-star and small-star steps until nothing changes."""
-    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links", under)
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = sorted_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialize(large, "large-star")
+        large = materialize(large, "large-star", under)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        links = materialize(sorted_join(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        links = materialize(sorted_join(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star", under)
         now = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
             return links.select(F.col("a").alias("id"), F.col("b").alias("least"))
@@ -220,6 +220,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
     """
     spark = df.sparkSession
     tune(spark)
+    scratch = shared_path(spark, "near")
     docs = texts(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = docs.count()
     cells = document_frequencies(docs, size)
@@ -245,8 +246,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *(pa.array(x, pa.binary()) for x in (same, keys, packed))], names=["row", "doc_id", "same", "keys", "packed"])
 
     signed = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(sample, "row bigint, doc_id bigint, same binary, keys binary, packed binary")
-    signed = materialize(signed, "samples")
-    exact = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("exact_id")), "nodes")
+    signed = materialize(signed, "samples", scratch)
+    exact = materialize(signed.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("exact_id")), "nodes", scratch)
 
     def buckets(batches):
         """A row for each band of a node: the hash of its bucket."""
@@ -259,12 +260,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(keys)], names=["node", "k"])
 
     nodes = exact.select(F.col("node").alias("row"))
-    banded = materialize(sorted_join(signed.select("row", "keys"), nodes, "row", "left_semi").mapInArrow(buckets, "node bigint, k bigint"), "bands")
+    banded = materialize(sorted_join(signed.select("row", "keys"), nodes, "row", "left_semi").mapInArrow(buckets, "node bigint, k bigint"), "bands", scratch)
     centres = banded.groupBy("k").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(sorted_join(banded, centres, "k").select("k", "node", "b", "n"), "members")
+    members = materialize(sorted_join(banded, centres, "k").select("k", "node", "b", "n"), "members", scratch)
     pairs = members.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     shared = members.select(F.col("node").alias("row")).distinct()
-    read = materialize(sorted_join(signed.select("row", "packed"), shared, "row", "left_semi"), "candidates")
+    read = materialize(sorted_join(signed.select("row", "packed"), shared, "row", "left_semi"), "candidates", scratch)
 
     def opened(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
         found, times = shingles(zstandard.ZstdDecompressor().decompress(packed).decode(), size)
@@ -287,7 +288,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
 
     first, second = read.select(F.col("row").alias("a"), F.col("packed").alias("x")), read.select(F.col("row").alias("b"), F.col("packed").alias("y"))
     near = sorted_join(sorted_join(pairs, first, "a"), second, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
-    joined = components(near)
+    joined = components(near, scratch)
 
     # all else that buckets hold: members that no verified link connects with the least one are compared with all others
     component = lambda c, name: joined.select(F.col("id").alias(c), F.col("least").alias(name))
@@ -307,13 +308,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, size: int = 5, bands:
         links = bridges([(i, c, s, *opened(x)) for i, c, s, x in zip(ids, component, side, packed, strict=True)], threshold) if len(set(component)) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    more = materialize(sorted_join(dealt, read, "row").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "bridges")
+    more = materialize(sorted_join(dealt, read, "row").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint"), "bridges", scratch)
     if not more.isEmpty():
-        joined = components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("least").alias("b"))))
+        joined = components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("least").alias("b"))), scratch)
     found = sorted_join(exact, component("node", "least"), "node", "left").withColumn("class_key", F.coalesce("least", "node"))
     least = found.groupBy("class_key").agg(F.min("exact_id").alias("class_id"))
     named = sorted_join(found.select("same", "exact_id", "class_key"), least, "class_key")
-    return sorted_join(signed.select("doc_id", "same"), named, "same").select("doc_id", "class_id", "exact_id", "class_key")
+    classes = materialize(sorted_join(signed.select("doc_id", "same"), named, "same").select("doc_id", "class_id", "exact_id", "class_key"), "classes")
+    remove(spark, scratch)  # only the classes are read from now on
+    return classes
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
