@@ -146,5 +146,5 @@ def write_delimited(df: DataFrame, target, **options):
 
 
 def writer(target, **options):
-    """For ``df.transform``-like chains: a function that writes a table to ``target``."""
+    """A function that writes a table to ``target`` and returns it."""
     return lambda df: write_delimited(df, target, **options)
