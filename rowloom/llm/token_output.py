@@ -8,6 +8,7 @@ pages that the page index names.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,6 +24,8 @@ from .common import materialize, shuffle_partitions, table, texts, tune
 
 #: Latin letters that normalisation keeps and that have one lower-case letter; then other ASCII signs than ' < > |.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: Added tokens that no plain word holds, because of these signs.
+SPECIAL = re.compile(r"<\|[a-z]+\|>")
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,14 +37,36 @@ def byte_letters() -> dict[int, str]:
 
 BYTE_LETTERS = byte_letters()
 
+#: The parts of a tokenizers file under which a text may be encoded word by word.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def splits_words(parts: dict) -> bool:
+    """Whether the file has the parts of ``BY_WORDS``, a plain BPE model, and no added token that a plain word could hold."""
+    model = parts["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "unk_token"))
+    added = [t for t in parts["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not SPECIAL.fullmatch(t["content"])]
+    return plain and not added and all(parts.get(k) == v for k, v in BY_WORDS.items())
+
 
 class WordEncoder:
     """Encodes texts with a tokenizers file; remembers the ids of words between spaces and newlines.
 
-    Only for vocabularies whose pre-tokenizer drops white space, so that no token and no normalisation reaches over a
-    space or newline: there, the ids of a text are those of its words in turn. A word of Latin letters and the
-    signs after it are separate pre-tokens, and the letters need the BPE model alone. At most ``most`` words are
-    kept; the shorter half, which recurs most, stays when they are too many.
+    Only where the file's normalisation and splitting are those of ``BY_WORDS``, so that no token reaches over a space
+    or newline: there, the ids of a text are those of its words in turn. A word of Latin letters and the signs after it
+    are separate pre-tokens, and the letters need the BPE model alone. At most ``most`` words are kept; the shorter
+    half, which recurs most, stays when they are too many. Texts for any other file are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -49,6 +74,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.by_words = splits_words(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
 
@@ -79,6 +105,8 @@ class WordEncoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
         out = []
         for text in batch:
             if len(self.known) > self.most:

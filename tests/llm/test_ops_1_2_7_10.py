@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -32,6 +33,25 @@ def test_words_encode_as_whole_texts_do(tokenizer, text):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_get_whole_texts(tokenizer, tmp_path):
+    texts = ["", "  Two  Words\n\tand 12 more!", "It's  a\nb c ", "café<|endoftext|> abc"]
+    byte_level = str(public_tokenizers.path("byte_bpe_50k.json"))
+    cased = json.loads(tokenizer.to_str())
+    cased["normalizer"]["normalizers"].pop()
+    added = json.loads(tokenizer.to_str())
+    added["added_tokens"].append({"id": 49408, "content": "abc", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    paths = [byte_level]
+    for name, parts in (("cased", cased), ("added", added)):
+        paths.append(str(tmp_path / f"{name}.json"))
+        (tmp_path / f"{name}.json").write_text(json.dumps(parts))
+    assert token_output.WordEncoder(PATH).by_words
+    for path in paths:
+        other = token_output.WordEncoder(path)
+        assert not other.by_words
+        want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == want
+
+
 def test_op7(spark, documents, tokenizer):
     want, start = {}, 0
     for r in sorted(documents.collect()):
