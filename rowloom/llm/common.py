@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches stay small enough for very long texts.
-ARROW_ROWS, ARROW_BYTES = "1000", "16m"
+ARROW_ROWS, ARROW_BYTES = "1000", "4m"
 
 
 def tune(spark: SparkSession) -> None:

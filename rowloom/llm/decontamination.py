@@ -39,11 +39,13 @@ INDEX = "shard bigint, doc_ids binary, first binary, n_words binary, terms binar
 def build_index(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20) -> None:
     """Store the postings of every word of every text (null: none). Ids are stored as 64-bit integers, null as the least."""
 
-    def row(shard, ids, docs):
-        number: dict[bytes, int] = defaultdict(count().__next__)
+    def numbers():
+        return defaultdict(count().__next__)
+
+    def row(shard, ids, docs, number):
         n = np.asarray([len(d) for d in docs], dtype=np.int64)
         first = np.cumsum(n + GAP) - n
-        terms = np.fromiter((number[w] for d in docs for w in d), dtype=np.int32, count=int(n.sum()))
+        terms = np.concatenate(docs)
         position = np.arange(len(terms)) + np.repeat(first - np.cumsum(n) + n, n)
         order = np.argsort(terms, kind="stable")
         counts = np.bincount(terms, minlength=len(number)).astype("<u4")
@@ -56,15 +58,18 @@ def build_index(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         from pyspark import TaskContext
 
         shard, ids, docs, held = TaskContext.get().partitionId() << 32, [], [], 0
+        number = numbers()
+
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row(shard, ids, docs), [pa.int64(), *[pa.binary()] * 6], strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row(shard, ids, docs, number), [pa.int64(), *[pa.binary()] * 6], strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                ids.append(-(2**63) if i is None else i), docs.append(words(text))
+                found = words(text)
+                ids.append(-(2**63) if i is None else i), docs.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
                 held += len(text) + 200
                 if held >= shard_bytes:
                     yield done()
-                    shard, ids, docs, held = shard + 1, [], [], 0
+                    shard, ids, docs, held, number = shard + 1, [], [], 0, numbers()
         if ids:
             yield done()
 

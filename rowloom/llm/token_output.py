@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -65,11 +66,14 @@ class WordEncoder:
 
     Only where the file's normalisation and splitting are those of ``BY_WORDS``, so that no token reaches over a space
     or newline: there, the ids of a text are those of its words in turn. A word of Latin letters and the signs after it
-    are separate pre-tokens, and the letters need the BPE model alone. At most ``most`` words are kept; the shorter
-    half, which recurs most, stays when they are too many. Texts for any other file are encoded whole.
+    are separate pre-tokens, and the letters need the BPE model alone. At most ``most`` words of up to ``LONGEST``
+    letters are kept, in two halves: when the newer one is full it takes the older one's place, and what is met again
+    in the older one moves to the newer. Texts for any other file are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    LONGEST = 64
+
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,31 +81,33 @@ class WordEncoder:
         self.by_words = splits_words(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def core(self, word: str) -> bytes:
-        """The ids of lower-case Latin letters."""
+    def kept(self, word: str, make: Callable[[str], bytes]) -> bytes:
+        """The ids kept of a word, else those that ``make`` gives."""
         if (got := self.known.get(word)) is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-            got = self.known[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if (got := self.older.get(word)) is None:
+                got = make(word)
+            if len(word) <= self.LONGEST:
+                if len(self.known) >= self.most // 2:
+                    self.known, self.older = {}, self.known
+                self.known[word] = got
         return got
 
+    def core(self, word: str) -> bytes:
+        """The ids of lower-case Latin letters."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def word(self, word: str) -> bytes:
-        known = self.known
-        if (got := known.get(word)) is None:
-            if m := PLAIN_WORD.fullmatch(word):
-                letters, tail = m.groups()
-                got = self.core(letters.lower())
-                if tail:
-                    got += self.whole(tail)
-            else:
-                got = self.whole(word)
-            known[word] = got
-        return got
+        if m := PLAIN_WORD.fullmatch(word):
+            letters, tail = m.groups()
+            got = self.kept(letters.lower(), self.core)
+            return got + self.kept(tail, self.whole) if tail else got
+        return self.whole(word)
 
     def whole(self, word: str) -> bytes:
-        if (got := self.known.get(word)) is None:
-            got = self.known[word] = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        return got
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -109,12 +115,10 @@ class WordEncoder:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
         out = []
         for text in batch:
-            if len(self.known) > self.most:
-                self.known = {w: self.known[w] for w in sorted(self.known, key=len)[: self.most // 2]}
             words = text.replace("\n", " ").split(" ")
             got = list(map(self.known.get, words))
             if None in got:
-                got = [self.word(w) if g is None else g for w, g in zip(words, got, strict=True)]
+                got = [self.kept(w, self.word) if g is None else g for w, g in zip(words, got, strict=True)]
             out.append(b"".join(got))
         return out
 

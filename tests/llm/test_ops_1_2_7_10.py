@@ -33,6 +33,15 @@ def test_words_encode_as_whole_texts_do(tokenizer, text):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_kept_are_bounded(tokenizer):
+    encoder = token_output.WordEncoder(PATH, 20)
+    text = " ".join([*(f"Word{k}, other{k % 7}" for k in range(200)), "x" * 5000])
+    for t in (text, text + " end"):
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        held = {**encoder.known, **getattr(encoder, "older", {})}
+        assert len(held) <= 20 and max(map(len, held)) < 5000
+
+
 def test_other_vocabularies_get_whole_texts(tokenizer, tmp_path):
     texts = ["", "  Two  Words\n\tand 12 more!", "It's  a\nb c ", "café<|endoftext|> abc"]
     byte_level = str(public_tokenizers.path("byte_bpe_50k.json"))
