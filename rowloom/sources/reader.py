@@ -123,11 +123,11 @@ def survey(spark: SparkSession, p: Plan, bad=None) -> Survey:
     if bad is not None:
         found = found.withColumn("cells", cells)
         more["bad"] = F.sum(F.when(F.col("data"), bad(lambda i: F.get("cells", F.lit(i)))).otherwise(0))
-    sums = found.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.max("quotes").alias("quotes"), F.max("opens").alias("opens"), F.max((v != "") & (F.btrim(v) == "")).alias("blank"), width.alias("width"), *(c.alias(k) for k, c in more.items()))
+    sums = found.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length(v)).alias("size"), F.max("quotes").alias("quotes"), F.max("opens").alias("opens"), F.max((v != "") & (F.btrim(v) == "")).alias("blank"), width.alias("width"), *(c.alias(k) for k, c in more.items()))
     sums = stored(sums)
-    row = sums.agg(F.count("*").alias("k"), *(F.max(c).alias(c) for c in ("quotes", "opens", "blank", "width")), *(F.sum(c).alias(c) for c in more)).first()
+    row = sums.agg(F.count("*").alias("k"), *(F.max(c).alias(c) for c in ("quotes", "opens", "blank", "width")), *(F.sum(c).alias(c) for c in ("size", *more))).first()
     multiline = bool(row["opens"]) if o.multiline is None else o.multiline and bool(row["opens"])
-    records = joined_records(lines(spark, p.paths, o, p.delim), row["k"]) if multiline else None
+    records = joined_records(lines(spark, p.paths, o, p.delim), row["size"] or 0) if multiline else None
     return Survey(sums.select("file", "block", "first", "n"), row["k"], bool(row["quotes"]), multiline, bool(row["blank"]), row["width"] or 0, (row["bad"] or 0) if more else None, records)
 
 

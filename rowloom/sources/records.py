@@ -2,8 +2,9 @@
 
 A quote opens a cell only at the cell's start. Where a line ends inside a cell, its record goes on; so each line is a
 function of two states (begun outside or inside a cell), told by two patterns in the JVM. Files without such lines are
-read as lines. In others the lines' functions are composed by block, then over the blocks, records are numbered by sums
-over blocks, put together, and written once for all later passes.
+read as lines. In others the lines' functions are composed by chunk of a block, then over the chunks, records are numbered by
+sums over chunks, put together, and written once for all later passes. Chunks, not blocks, are dealt to tasks, so that
+tasks get even shares, and there are tasks enough for the text's size.
 """
 
 from __future__ import annotations
@@ -80,11 +81,11 @@ def lines(spark: SparkSession, paths: list[str], o: ReadOptions, delim: str) ->
     return found.select("*", quotes.alias("quotes"), opens.alias("opens"), (~quotes | v.rlike(g.stays())).alias("stays"))
 
 
-def states(df: DataFrame, part: list[str], order: str, opens: str, stays: str) -> DataFrame:
+def states(df: DataFrame, part: list[str], order: list[str], opens: str, stays: str) -> DataFrame:
     """Composes the functions (opens, stays) of rows in order. Adds ``flips`` (how often the state turned) and ``reset``
     (the state, less those turns, since the last row that didn't depend on it; null before one): the state after a row
     that began in s is (coalesce(reset, s) + flips) % 2."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     turn = (F.col(opens) & ~F.col(stays)).cast("int")
     df = df.withColumn("flips", F.sum(turn).over(w))
     fixed = F.when(F.col(opens) == F.col(stays), (F.col(opens).cast("int") + F.col("flips")) % 2)
@@ -95,14 +96,17 @@ def after(reset: Column, flips: Column, begun: int) -> Column:
     return (F.coalesce(reset, F.lit(begun)) + flips) % 2
 
 
-def before(sums: DataFrame, column: str) -> Column:
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+def before(column: str, order: tuple[str, ...] = ("block",)) -> Column:
+    w = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(column).over(w), F.lit(0))
 
 
 #: Blocks whose sums are sent to all tasks, at most (a path and a few numbers each); beyond them they are joined by a shuffle.
 BLOCKS_SENT = 50_000
 
+#: Lines of a block that are dealt to tasks together (a power of two), and bytes of text that a task gets, about.
+CHUNK_LINES, TASK_BYTES = 1 << 12, 64 << 20
+
 
 def stored(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
@@ -113,28 +117,35 @@ def stored(df: DataFrame) -> DataFrame:
 def numbered_lines(found: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     """file, rec (row number in the file, from 1), total (rows of the file), value, quotes, where each line is a record; ``blocks``: file, block, first, n."""
     total = F.sum("n").over(Window.partitionBy("file"))
-    at = blocks.select("file", "block", "first", before(blocks, "n").alias("b"), total.alias("total"))
+    at = blocks.select("file", "block", "first", before("n").alias("b"), total.alias("total"))
     at = F.broadcast(at) if n_blocks <= BLOCKS_SENT else at
     return found.join(at, ["file", "block"]).select("file", (F.col("b") + F.col("at") - F.col("first") + 1).alias("rec"), "total", "value", "quotes")
 
 
-def joined_records(found: DataFrame, n_blocks: int) -> DataFrame:
-    """The same where records span lines; written once. An unclosed cell at a file's end is an error."""
-    sent = F.broadcast if n_blocks <= BLOCKS_SENT else lambda df: df
-    inside = Window.partitionBy("file", "block").orderBy("at")
-    within = states(found, ["file", "block"], "at", "opens", "stays")
-    last = within.groupBy("file", "block").agg(F.max_by(F.struct("reset", "flips"), "at").alias("x"))
+def dealt(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """By the keys to as many tasks as ``size`` bytes need; left to Spark where its own number is enough."""
+    n = -(-size // TASK_BYTES)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def joined_records(found: DataFrame, size: int) -> DataFrame:
+    """The same where records span lines (``size`` bytes of text in all); written once. An unclosed cell at a file's end is an error."""
+    key = ["file", "block", "chunk"]
+    inside = Window.partitionBy(*key).orderBy("at")
+    chunked = dealt(found.withColumn("chunk", F.shiftright("at", CHUNK_LINES.bit_length() - 1)), size, *key)
+    within = states(chunked, key, ["at"], "opens", "stays")
+    last = within.groupBy(*key).agg(F.max_by(F.struct("reset", "flips"), "at").alias("x"))
     ends = [after(F.col("x.reset"), F.col("x.flips"), s) == 1 for s in (0, 1)]
-    over = states(last.select("file", "block", ends[0].alias("opens"), ends[1].alias("stays")), ["file"], "block", "opens", "stays")
-    over = stored(over.select("file", "block", after(F.col("reset"), F.col("flips"), 0).alias("ends")))
-    if not over.groupBy("file").agg(F.max_by("ends", "block").alias("ends")).filter("ends = 1").isEmpty():
+    over = states(last.select(*key, ends[0].alias("opens"), ends[1].alias("stays")), ["file"], ["block", "chunk"], "opens", "stays")
+    over = stored(over.select(*key, after(F.col("reset"), F.col("flips"), 0).alias("ends")))
+    if not over.groupBy("file").agg(F.max_by("ends", F.struct("block", "chunk")).alias("ends")).filter("ends = 1").isEmpty():
         raise ValueError("a quoted cell isn't closed before the end of the input")
-    begun = over.select("file", "block", F.lag("ends", 1, 0).over(Window.partitionBy("file").orderBy("block")).alias("begun"))
+    begun = over.select(*key, F.lag("ends", 1, 0).over(Window.partitionBy("file").orderBy("block", "chunk")).alias("begun"))
     state = (F.coalesce(F.col("reset"), F.col("begun")) + F.col("flips")) % 2
-    marked = within.join(sent(begun), ["file", "block"]).withColumn("after", state).withColumn("start", 1 - F.coalesce(F.lag("after").over(inside), F.col("begun")))
-    marked = marked.withColumn("k", F.sum("start").over(inside)).select("file", "block", "at", "value", "quotes", "start", "k")
-    starts = stored(marked.groupBy("file", "block").agg(F.sum("start").alias("n")))
-    starts = starts.select("file", "block", before(starts, "n").alias("s"), F.sum("n").over(Window.partitionBy("file")).alias("total"))
-    numbered = marked.join(sent(starts), ["file", "block"]).withColumn("rec", F.col("s") + F.col("k"))
+    marked = within.join(begun, key).withColumn("after", state).withColumn("start", 1 - F.coalesce(F.lag("after").over(inside), F.col("begun")))
+    marked = marked.withColumn("k", F.sum("start").over(inside)).select(*key, "at", "value", "quotes", "start", "k")
+    starts = stored(marked.groupBy(*key).agg(F.sum("start").alias("n")))
+    starts = starts.select(*key, before("n", ("block", "chunk")).alias("s"), F.sum("n").over(Window.partitionBy("file")).alias("total"))
+    numbered = dealt(marked.join(starts, key).withColumn("rec", F.col("s") + F.col("k")), size, "file", "rec")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n")
     return stored(numbered.groupBy("file", "rec").agg(F.first("total").alias("total"), text.alias("value"), F.max("quotes").alias("quotes")))

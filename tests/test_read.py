@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rowloom import detect, detect_type, iter_chunks, parse_cell, plan_delimited, read, read_delimited, read_many, read_rows
 from rowloom.plans.names import normalized, unique
+from rowloom.sources import records
 
 D, DT = datetime.date, datetime.datetime
 I, R, S = "bigint", "double", "string"
@@ -227,6 +228,20 @@ def test_quotes_at_borders(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_a_block_is_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """One block's lines go by chunks to as many tasks as the text's size needs, and records reach over chunks."""
+    rows = [(k, "\n".join([f"{k}"] * (k % 30 + 1))) for k in range(400)]
+    (tmp_path / "one.csv").write_text("k,t\n" + "".join(f'{k},"{t}"\n' for k, t in rows))
+    plans, write = [], records.stored
+    monkeypatch.setattr(records, "stored", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
+    for name, value in (("CHUNK_LINES", 8), ("TASK_BYTES", 1000)):
+        monkeypatch.setattr(records, name, value, raising=False)
+    assert sorted(map(tuple, read_delimited(spark, str(tmp_path / "one.csv")).collect())) == rows
+    keys = [(re.sub(r"#\d+L?", "", k).split(", ")) for k in re.findall(r"Exchange hashpartitioning\(([^()]*)\)", plans[-1])]
+    text = [k for k in keys if k[:2] == ["file", "block"] or k[:2] == ["file", "rec"]]
+    assert text and all(k[-2] in ("chunk", "rec") for k in text) and max(int(k[-1]) for k in text) > 4
+
+
 def jobs(spark, run) -> int:
     group = f"counted-{id(run)}"
     spark.sparkContext.setJobGroup(group, group)
