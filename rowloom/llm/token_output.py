@@ -13,7 +13,8 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, table, texts, tune
 
-#: Latin letters that normalisation keeps and that have one lower-case letter; then other ASCII signs than ' < > |.
-PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=?@\[-`{}~]*)")
-#: Added tokens that no plain word holds, because of these signs.
+#: Latin letters (U+00C0 to U+024F but for three signs) that normalisation keeps and that have one lower-case letter.
+PLAIN_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+#: Kinds of bytes: 0 separators, 1 letters, 2 signs and digits.
+KINDS = np.full(256, 2, np.uint8)
+KINDS[[0x20, 0x0A]] = 0
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+#: Bytes that make a word odd: control characters, signs that can join letters to them, first bytes of other letters.
+ODD = np.zeros(256, bool)
+ODD[[*(b for b in range(0x20) if b != 0x0A), *b"'<", 0x7F, 0xC2, *range(0xCA, 0x100)]] = True
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Added tokens that only odd words hold, because of their first sign.
 SPECIAL = re.compile(r"<\|[a-z]+\|>")
 
 
@@ -54,73 +63,132 @@ BY_WORDS = {
 
 
 def splits_words(parts: dict) -> bool:
-    """Whether the file has the parts of ``BY_WORDS``, a plain BPE model, and no added token that a plain word could hold."""
+    """Whether the file has the parts of ``BY_WORDS``, a plain BPE model, and no added token but those that odd words hold."""
     model = parts["model"]
     plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "unk_token"))
     added = [t for t in parts["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not SPECIAL.fullmatch(t["content"])]
     return plain and not added and all(parts.get(k) == v for k, v in BY_WORDS.items())
 
 
+def cut_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of words in UTF-8 bytes: their bytes in turn, ASCII in lower case, their first bytes there and in ``data``.
+
+    A word between spaces and newlines falls into runs of letters and of signs; an odd word is one piece as it is.
+    """
+    kinds = KINDS[data]
+    inside = kinds > 0
+    new = inside.copy()
+    new[1:] &= kinds[1:] != kinds[:-1]
+    odd = np.flatnonzero(ODD[data])
+    # the rest of what PLAIN_LETTERS leaves out: × and ÷, İ, and U+0250 on
+    lead = np.flatnonzero((data == 0xC3) | (data == 0xC4) | (data == 0xC9))
+    first, second = data[lead], data[lead + 1]
+    other = (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC4) & (second == 0xB0) | (first == 0xC9) & (second >= 0x90)
+    odd = np.concatenate([odd, lead[other]])
+    lower = LOWER[data]
+    if len(odd):
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        words = np.unique(np.searchsorted(edges[::2], odd, "right") - 1)
+        steps = np.zeros(len(data) + 1, np.int8)
+        steps[edges[2 * words]] = 1
+        steps[edges[2 * words + 1]] = -1
+        whole = np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+        new &= ~whole
+        new[edges[2 * words]] = True
+        lower[whole] = data[whole]
+    return lower[inside], np.flatnonzero(new[inside]), np.flatnonzero(new)
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizers file; remembers the ids of words between spaces and newlines.
+    """Encodes texts with a tokenizers file; remembers the ids of the pieces of words between spaces and newlines.
 
     Only where the file's normalisation and splitting are those of ``BY_WORDS``, so that no token reaches over a space
-    or newline: there, the ids of a text are those of its words in turn. A word of Latin letters and the signs after it
-    are separate pre-tokens, and the letters need the BPE model alone. At most ``most`` words of up to ``LONGEST``
-    letters are kept, in two halves: when the newer one is full it takes the older one's place, and what is met again
-    in the older one moves to the newer. Texts for any other file are encoded whole.
+    or newline, or from letters to signs or back but in an odd word: there, the ids of a text are those of its pieces
+    in turn, and Latin letters need the BPE model alone. A block of texts is cut into pieces at once, and each of its
+    different pieces is looked up once. At most ``most`` pieces of up to ``LONGEST`` bytes are kept, in two halves:
+    when the newer one is full it takes the older one's place, and what is met again in the older one moves to the
+    newer. Texts for any other file are encoded whole.
     """
 
     LONGEST = 64
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, block: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.block = Tokenizer.from_file(path), most, block
         self.by_words = splits_words(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def kept(self, word: str, make: Callable[[str], bytes]) -> bytes:
-        """The ids kept of a word, else those that ``make`` gives."""
-        if (got := self.known.get(word)) is None:
-            if (got := self.older.get(word)) is None:
-                got = make(word)
-            if len(word) <= self.LONGEST:
-                if len(self.known) >= self.most // 2:
-                    self.known, self.older = {}, self.known
-                self.known[word] = got
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def kept(self, piece: bytes) -> bytes:
+        """The ids of a piece that isn't among the newer ones; from now on it is."""
+        if (got := self.older.get(piece)) is None:
+            got = self.made(piece)
+        if len(piece) <= self.LONGEST:
+            if len(self.known) >= self.most // 2:
+                self.known, self.older = {}, self.known
+            self.known[piece] = got
         return got
 
-    def core(self, word: str) -> bytes:
-        """The ids of lower-case Latin letters."""
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def word(self, word: str) -> bytes:
-        if m := PLAIN_WORD.fullmatch(word):
-            letters, tail = m.groups()
-            got = self.kept(letters.lower(), self.core)
-            return got + self.kept(tail, self.whole) if tail else got
-        return self.whole(word)
-
-    def whole(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+    def made(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if piece.isalpha():  # ASCII
+            ids = [t.id for t in self.model.tokenize(text.lower())]
+        elif PLAIN_LETTERS.fullmatch(text):
+            ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def blocks(self, batch: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        """Numbers of texts and the texts, or parts of long ones that end before a separator: about ``block`` characters at once."""
+        numbers, parts, size = [], [], 0
+        for i, text in enumerate(batch):
+            at = 0
+            while at < len(text):
+                end = len(text)
+                if end - at > self.block:
+                    end = max(text.rfind(s, at + 1, at + self.block) for s in " \n")
+                    if end < 0:
+                        end = min((e for s in " \n" if (e := text.find(s, at + self.block)) >= 0), default=len(text))
+                if parts and size + end - at > self.block:
+                    yield numbers, parts
+                    numbers, parts, size = [], [], 0
+                numbers.append(i), parts.append(text[at:end])
+                size += end - at
+                at = end
+        if parts:
+            yield numbers, parts
+
+    def encode_block(self, parts: list[str]) -> list[bytes]:
+        raw = [p.encode() for p in parts]
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        joined, offsets, starts = cut_pieces(np.frombuffer(b"\n".join(raw), np.uint8))
+        offsets = np.append(offsets, len(joined)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        which, different = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.known.get, different))
+        if None in got:
+            got = [self.kept(p) if g is None else g for p, g in zip(different, got, strict=True)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        n = sizes[which]
+        reached = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - reached[:-1], n) + np.arange(reached[-1])
+        ids = np.frombuffer(b"".join(got), "<u4")[at].tobytes()
+        bounds = [0, *(4 * reached[np.searchsorted(starts, ends)]).tolist()]
+        return [ids[s:e] for s, e in pairwise(bounds)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_words:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
-        out = []
-        for text in batch:
-            words = text.replace("\n", " ").split(" ")
-            got = list(map(self.known.get, words))
-            if None in got:
-                got = [self.kept(w, self.word) if g is None else g for w, g in zip(words, got, strict=True)]
-            out.append(b"".join(got))
-        return out
+        out = [[] for _ in batch]
+        for numbers, parts in self.blocks(batch):
+            for i, ids in zip(numbers, self.encode_block(parts), strict=True):
+                out[i].append(ids)
+        return [b"".join(ids) for ids in out]
 
 
 _encoders: dict[str, WordEncoder] = {}

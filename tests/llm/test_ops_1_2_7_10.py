@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -42,6 +43,37 @@ def test_words_kept_are_bounded(tokenizer):
         assert len(held) <= 20 and max(map(len, held)) < 5000
 
 
+class Counted:
+    def __init__(self, model):
+        self.model, self.n = model, 0
+
+    def tokenize(self, word):
+        self.n += 1
+        return self.model.tokenize(word)
+
+
+def test_letters_are_encoded_once_whatever_case_and_signs(tokenizer):
+    encoder = token_output.WordEncoder(PATH, 260)
+    encoder.model = counted = Counted(encoder.model)
+    cores = ["".join(c) for c in itertools.product("bdfg", "aeiou", "lnrst")]
+    words = [case(c) + sign for sign in ["", *",.;:!?)", "!!", "?!", ".)", "..."] for case in (str, str.title, str.upper) for c in cores]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    for t in texts:
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert counted.n == len(cores)
+
+
+def test_pieces_encode_as_whole_texts_do(tokenizer):
+    rng = random.Random(5)
+    signs = [*"aZéÀßÿĀıſǅɏɐ×÷İµºªΣςя中한½²_-.,;|<>'&0129\t\r\x00\x1f\x7f\x85\xa0\u3000\u0301\u200d\U0001f600  \n\n", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'Re", "x" * 70]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(3000)] + ["\n", "x" * 300, " " * 90, "é" * 90 + " b"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for block in (1, 40, 10**6):
+        got = token_output.WordEncoder(PATH, 50, block).encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert token_output.WordEncoder(PATH).encode([]) == [] and token_output.WordEncoder(PATH).encode(["", ""]) == [b"", b""]
+
+
 def test_other_vocabularies_get_whole_texts(tokenizer, tmp_path):
     texts = ["", "  Two  Words\n\tand 12 more!", "It's  a\nb c ", "café<|endoftext|> abc"]
     byte_level = str(public_tokenizers.path("byte_bpe_50k.json"))
