@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .lasso import fit_weights
 
 #: Labelled rows that the rules and weights are fitted on, at most; they are those with the least hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -72,8 +73,8 @@ def paths(node, names: list[str], before: tuple = ()):
 
 
 def fit(sample: DataFrame, names: list[str], label_col: str, trees: int = 24, depth: int = 3, penalty: float = 5e-4) -> RuleModel:
-    """Rules and weights for label 1. With one class only, or no rows, the score is that class's or one half."""
-    counts = {int(r[0]): r[1] for r in sample.groupBy(label_col).count().collect()}
+    """Rules and weights for label 1 against all others. With one class only, or no rows, the score is that class's or one half."""
+    counts = {int(r[0]): r[1] for r in sample.groupBy(F.col(label_col) == 1).count().collect()}
     if len(counts) < 2:
         return RuleModel((), {1: 20.0, 0: -20.0}.get(next(iter(counts), -1), 0.0))
     rows = VectorAssembler(inputCols=names, outputCol="_features").transform(sample)
@@ -81,10 +82,8 @@ def fit(sample: DataFrame, names: list[str], label_col: str, trees: int = 24, de
     rules = sorted({r for t in forest.trees for r in paths(t._java_obj.rootNode(), names)})
     if not rules:
         return RuleModel((), math.log(counts[1] / counts[0]))
-    truths = [f"_r{k}" for k in range(len(rules))]
-    held = sample.select(label_col, *(holds(r).cast("double").alias(t) for r, t in zip(rules, truths, strict=True)))
-    lasso = LogisticRegression(featuresCol="_features", labelCol=label_col, elasticNetParam=1.0, regParam=penalty, maxIter=60).fit(VectorAssembler(inputCols=truths, outputCol="_features").transform(held))
-    return RuleModel(tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients, strict=True) if w), float(lasso.intercept))
+    weights, intercept = fit_weights(sample, rules, label_col, penalty)
+    return RuleModel(tuple((r, w) for r, w in zip(rules, weights, strict=True) if w), intercept)
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
