@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import keyword
 import re
 import unicodedata
@@ -10,6 +11,7 @@ from collections import Counter
 # fixed values: candidate delimiters in order of preference
 CANDIDATES = (",", "\t", " ", "|", ";", ":")
 FALLBACK = (",", "\t", "|", ";", ":")
+SNIFFED = 10  # records
 
 
 def split_line(line: str, delim: str, o) -> list[str | None]:
@@ -78,22 +80,62 @@ def outside_quotes(text: str, o) -> str:
     return re.sub(f"{a}[^{b}]*(?:{b}|\\Z)", "", text)
 
 
+def skipped(value: str, o) -> bool:
+    return o.comment is not None and value.startswith(o.comment) or o.ignoreemptyrows and value == ""
+
+
+def record_end(lines: list[str], at: int, delim: str, o) -> int | None:
+    """The place after the record that begins at a line; None if it isn't closed among the lines."""
+    if not o.quoted or o.multiline is False or o.open not in lines[at] or o.comment is not None and lines[at].startswith(o.comment):
+        return at + 1
+    for end in range(at + 1, len(lines) + 1):
+        if end == at + 1 or o.close in lines[end - 1]:
+            with contextlib.suppress(ValueError):
+                split_line("\n".join(lines[at:end]), delim, o)
+                return end
+    return None
+
+
+def head_records(lines: list[str], delim: str, o) -> list[str]:
+    """Lines put together to records; one that isn't closed among them stays as it is."""
+    out, at = [], 0
+    while at < len(lines):
+        end = record_end(lines, at, delim, o) or at + 1
+        out.append("\n".join(lines[at:end]))
+        at = end
+    return out
+
+
+def counted_records(lines: list[str], delim: str, o) -> list[str]:
+    """The first ten records that aren't skipped, up to one that isn't closed among the lines (of that, its first line if there are no others)."""
+    out, at = [], 0
+    while at < len(lines) and len(out) < SNIFFED:
+        end = record_end(lines, at, delim, o)
+        if end is None and out:
+            break
+        record = "\n".join(lines[at : end or at + 1])
+        if record and not skipped(record, o):
+            out.append(record)
+        if end is None:
+            break
+        at = end
+    return out
+
+
 def sniff(lines: list[str], o, path: str = "") -> str:
-    """The delimiter: by the file's extension, else a candidate that divides evenly over the first ten lines, else the header's most frequent."""
+    """The delimiter: by the file's extension, else a candidate that divides evenly over the first ten records (a quoted cell's line ends don't end one), else the header's most frequent."""
     lower = path.lower().removesuffix(".gz")
     if lower.endswith(".tsv"):
         return "\t"
     if lower.endswith(".wsv"):
         return " "
-    lines = [x for x in lines if x][:10]
-    if not lines:
-        return ","
-    text = outside_quotes("\n".join(lines), o)
-    found = Counter(text)
     for c in CANDIDATES:
-        if found[c] and found[c] % len(lines) == 0:
+        records = counted_records(lines, c, o)
+        n = outside_quotes("\n".join(records), o).count(c)
+        if n and n % len(records) == 0:
             return c
-    head = Counter(text.split("\n")[0])
+    lines = [x for x in lines if x and not skipped(x, o)][:SNIFFED]
+    head = Counter(outside_quotes("\n".join(lines), o).split("\n")[0])
     best = max(FALLBACK, key=lambda c: (head[c], -FALLBACK.index(c)))
     return best if head[best] else ","
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.convert import Cells
 from ..operators.infer import infer, pooled, smallest
-from ..plans.names import by_column, check_keys, header_names, kept_columns, sniff, split_line, unique
+from ..plans.names import by_column, check_keys, head_records, header_names, kept_columns, skipped, sniff, split_line, unique
 from ..plans.options import ReadOptions
 from .records import BLOCKS_SENT, Grammar, joined_records, lines, literal, numbered_lines, stored
 from .storage import readable
@@ -51,40 +51,16 @@ class Survey:
     records: DataFrame | None = None
 
 
-def skipped(value: str, o: ReadOptions) -> bool:
-    return o.comment is not None and value.startswith(o.comment) or o.ignoreemptyrows and value == ""
-
-
 def plan_delimited(spark: SparkSession, source, **options) -> Plan:
     p = _plan(spark, readable(spark, source), ReadOptions.of(**options))
     return replace(p, quotes=survey(spark, p).quotes)
 
 
-def head_records(found: list[str], delim: str, o: ReadOptions) -> list[str]:
-    """Lines put together to records; one that isn't closed among them stays as it is."""
-    out, k = [], 0
-    while k < len(found):
-        record, end = found[k], k + 1
-        if o.quoted and o.multiline is not False and not (o.comment is not None and record.startswith(o.comment)):
-            while end <= len(found):
-                try:
-                    split_line(record, delim, o)
-                    break
-                except ValueError:
-                    record, end = record + "\n" + (found[end] if end < len(found) else ""), end + 1
-            if end > len(found):
-                record, end = found[k], k + 1
-        out.append(record)
-        k = end
-    return out
-
-
 def _plan(spark: SparkSession, paths: list[str], o: ReadOptions) -> Plan:
     wanted = max([o.first_row(), *o.header_rows(), 1]) + HEAD
     text = [r[0] for r in spark.read.option("encoding", o.encoding).text(paths[:1]).limit(wanted).collect()] if paths else []
     least = min([*o.header_rows(), o.first_row()])
-    body = [v for v in text[least - 1 :] if not skipped(v, o)]
-    delim = o.delim or sniff(body, o, paths[0] if paths else "")
+    delim = o.delim or sniff(text[least - 1 :], o, paths[0] if paths else "")
     found = dict(enumerate(head_records(text, delim, o), 1))
     rows = {k: v for k, v in found.items() if not skipped(v, o)}
     header, at = [], 0

@@ -274,3 +274,13 @@ def test_sources_of_all_kinds(spark, tmp_path):
     command = subprocess.Popen(["printf", "a,b\\n1,x\\n2,y\\n"], stdout=subprocess.PIPE)
     assert got(command) == want and command.wait() == 0
     assert got(str(tmp_path / "latin.csv"), encoding="ISO-8859-1") == [(1, "é")]
+
+
+def test_lines_within_cells_do_not_count_for_the_delimiter(spark):
+    """Ten lines, but three records: the ten blanks of a plain cell would divide evenly over the lines, the six commas don't."""
+    long = "x\ny\nz\nu\nv\nw\np\nq, r"
+    df = read_delimited(spark, f'doc_id,text,lang\n1,a b c d e f g h i j k,en\n2,"{long}",en\n'.encode())
+    assert sorted(map(tuple, df.collect())) == [(1, "a b c d e f g h i j k", "en"), (2, long, "en")]
+    endless = "\n".join("say, so" for _ in range(400))
+    df = read_delimited(spark, f'doc_id|text\n1|"{endless}"\n2|b\n'.encode())
+    assert sorted(map(tuple, df.collect())) == [(1, endless), (2, "b")]
