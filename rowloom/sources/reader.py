@@ -13,7 +13,7 @@ from ..functions.convert import Cells
 from ..operators.infer import infer, pooled, smallest
 from ..plans.names import by_column, check_keys, head_records, header_names, kept_columns, skipped, sniff, split_line, unique
 from ..plans.options import ReadOptions
-from .records import BLOCKS_SENT, Grammar, joined_records, lines, literal, numbered_lines, stored
+from .records import BLOCKS_SENT, Grammar, joined_records, lines, literal, numbered_lines, same_blocks, stored
 from .storage import readable
 
 HEAD = 200  # lines looked at for the plan, at least
@@ -103,7 +103,8 @@ def survey(spark: SparkSession, p: Plan, bad=None) -> Survey:
     sums = stored(sums)
     row = sums.agg(F.count("*").alias("k"), *(F.max(c).alias(c) for c in ("quotes", "opens", "blank", "width")), *(F.sum(c).alias(c) for c in ("size", *more))).first()
     multiline = bool(row["opens"]) if o.multiline is None else o.multiline and bool(row["opens"])
-    records = joined_records(lines(spark, p.paths, o, p.delim), row["size"] or 0) if multiline else None
+    with same_blocks(spark):
+        records = joined_records(lines(spark, p.paths, o, p.delim), row["size"] or 0) if multiline else None
     return Survey(sums.select("file", "block", "first", "n"), row["k"], bool(row["quotes"]), multiline, bool(row["blank"]), row["width"] or 0, (row["bad"] or 0) if more else None, records)
 
 

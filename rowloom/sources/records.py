@@ -9,6 +9,7 @@ tasks get even shares, and there are tasks enough for the text's size.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -114,6 +115,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def same_blocks(spark: SparkSession):
+    """Scans in here cut files into the same blocks and tasks, also if executors come or go meanwhile: lines are known from one scan to the next by their place in them."""
+    name = "spark.sql.files.minPartitionNum"
+    told = spark.conf.get(name, None)
+    if told is None:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if told is None:
+            spark.conf.unset(name)
+
+
 def numbered_lines(found: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     """file, rec (row number in the file, from 1), total (rows of the file), value, quotes, where each line is a record; ``blocks``: file, block, first, n."""
     total = F.sum("n").over(Window.partitionBy("file"))
@@ -129,7 +144,8 @@ def dealt(df: DataFrame, size: int, *keys: str) -> DataFrame:
 
 
 def joined_records(found: DataFrame, size: int) -> DataFrame:
-    """The same where records span lines (``size`` bytes of text in all); written once. An unclosed cell at a file's end is an error."""
+    """The same where records span lines (``size`` bytes of text in all); written once. An unclosed cell at a file's end is an error.
+    The lines are scanned several times, which needs ``same_blocks``."""
     key = ["file", "block", "chunk"]
     inside = Window.partitionBy(*key).orderBy("at")
     chunked = dealt(found.withColumn("chunk", F.shiftright("at", CHUNK_LINES.bit_length() - 1)), size, *key)

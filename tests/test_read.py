@@ -284,3 +284,29 @@ def test_lines_within_cells_do_not_count_for_the_delimiter(spark):
     endless = "\n".join("say, so" for _ in range(400))
     df = read_delimited(spark, f'doc_id|text\n1|"{endless}"\n2|b\n'.encode())
     assert sorted(map(tuple, df.collect())) == [(1, endless), (2, "b")]
+
+
+@pytest.mark.parametrize("at", [1, 2, 3])
+def test_cores_may_change_between_passes(spark, tmp_path, monkeypatch, at):
+    """Files are cut by the number of cores; records over several lines are put together by several scans."""
+    rows = [(k, "\n".join([f"{k}"] * (k % 30 + 1))) for k in range(800)]
+    for f in range(4):
+        (tmp_path / f"{f}.csv").write_text("k,t\n" + "".join(f'{k},"{t}"\n' for k, t in rows if k % 4 == f))
+    cores, n, write = "spark.sql.leafNodeDefaultParallelism", [], records.stored
+
+    def stored(df):
+        n.append(1)
+        out = write(df)
+        if len(n) == at:
+            spark.conf.set(cores, "3")
+        return out
+
+    monkeypatch.setattr(records, "stored", stored)
+    spark.conf.set(cores, "12")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert sorted(map(tuple, read_delimited(spark, str(tmp_path)).collect())) == rows and len(n) == 3
+        assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
